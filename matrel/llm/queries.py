@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matrel.llm.bpe import op6_bpe
 from matrel.llm.chat import op7_chat_formatting
+from matrel.llm.embeddings import op4_embedding_near_dedup
+from matrel.llm.fingerprints import op1_document_fingerprints
+from matrel.llm.minhash import op3_minhash_near_dedup
 from matrel.llm.packing import op9_best_fit_packing
 from matrel.llm.token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_bpe": op6_bpe,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
