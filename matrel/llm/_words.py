@@ -18,6 +18,9 @@ _MASK = (1 << 64) - 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: What ends a token of letters: every ASCII byte but letters and digits.
+PUNCTUATED = np.ones(256, bool)
+PUNCTUATED[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -73,13 +76,13 @@ class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts, A-Z lower-cased: their places, and a 64-bit hash of each.
 
     ``start``/``end`` are byte places in ``data``; ``first`` (n + 1) holds the first
-    word of each text.
+    word of each text. Another ``separator`` table makes other words.
     """
 
-    def __init__(self, off: np.ndarray, data: np.ndarray, lower: bool = True):
+    def __init__(self, off: np.ndarray, data: np.ndarray, lower: bool = True, separator: np.ndarray = _SEPARATOR):
         n = len(data)
         self.off, self.data = off, data
-        inside = ~_SEPARATOR[data]
+        inside = ~separator[data]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         ends[:-1] &= ~inside[1:]
@@ -94,8 +97,18 @@ class Words:
         up, down = _power_tables(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix64((total[self.end] - total[self.start]) * down[self.start] + length * _STEP)
+        self._total, self._down = total, down
+        self.hash = self._hash_to(self.end)
+
+    def _hash_to(self, end: np.ndarray) -> np.ndarray:
+        length = (end - self.start).astype(np.uint64)
+        return mix64((self._total[end] - self._total[self.start]) * self._down[self.start] + length * _STEP)
+
+    def prefix_hash(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes; 0 for words that have no more than these."""
+        end = self.start + size
+        longer = end < self.end
+        return np.where(longer, self._hash_to(np.where(longer, end, self.end)) ^ np.uint64(size), np.uint64(0))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -262,6 +262,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept: one document of each component, and every one without a key."""
+    kept = written(near_duplicates(docs, words, percent, text, key).where("kept").select(F.col(key).alias("kept_id")).where("kept_id IS NOT NULL").distinct(), "kept")
+    return docs.join(kept, F.col(key) == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -10,16 +10,22 @@ from matrel.llm.bpe import op6_bpe
 from matrel.llm.chat import op7_chat_formatting
 from matrel.llm.embeddings import op4_embedding_near_dedup
 from matrel.llm.fingerprints import op1_document_fingerprints
+from matrel.llm.lines import op2_line_dedup
 from matrel.llm.minhash import op3_minhash_near_dedup
 from matrel.llm.packing import op9_best_fit_packing
+from matrel.llm.quality import op8_quality
 from matrel.llm.token_counts import op10_token_counts
+from matrel.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_quality": op8_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
