@@ -10,7 +10,7 @@ the full sets.
 What meets in a band is never expanded into all pairs. Equal sets are one class. Every member of a band is first
 compared with the band's least member; links found make components; only where
 a band still holds several components are its members compared further, in blocks of bounded
-size, and only the pairs that the estimate lets through leave a block.
+size, and only the links that connect components leave a block.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ PER_BAND = REGISTERS // BANDS
 MANTISSA = 10
 _LOW = 64 - (REGISTERS.bit_length() - 1)
 #: Members compared with each other in one block.
-BLOCK = 256
+BLOCK = 128
 
 
 def registers(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -161,12 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             for batch in _words.slices(whole, "text_b", 1 << 22):
                 keep = []
                 for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                    if len(x) and len(y):
-                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        common = int((y[at] == x).sum())
-                        keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                    else:
-                        keep.append(False)
+                    keep.append(_reach(x, y, percent))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
@@ -174,38 +169,94 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that meet in a band and may reach the threshold.
+class _Members:
+    """The members of one block, with their sets made when first asked for."""
 
-    ``members``: ``key, id, component_id, n_shingles, regs``. A band's members are dealt
-    into blocks of about ``BLOCK``; each pair of its blocks is one row, compared with NumPy.
+    def __init__(self, rows: pa.StructArray, words: int):
+        self.ids = rows.field("id").to_numpy(zero_copy_only=False)
+        self.own = rows.field("component_id").to_numpy(zero_copy_only=False)
+        self.n = rows.field("n_shingles").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.regs = _regs(rows.field("regs"))
+        self.keys = band_keys(self.regs)
+        self._texts = pa.record_batch([rows.field("text")], names=["text"])
+        self._words, self._sets = words, None
+
+    def sets(self) -> list[np.ndarray]:
+        if self._sets is None:
+            self._sets = []
+            for part in _words.slices(self._texts, "text"):
+                first, hashes = _words.shingle_sets(_words.Words(*_words.string_buffer(part.column(0))), self._words)
+                self._sets += [hashes[a:b].copy() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return self._sets
+
+
+def _reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are as similar as asked."""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _links_between(x: _Members, y: _Members, same: bool, key: int, percent: int) -> tuple[list, list]:
+    """Verified links that connect different components of two blocks of a band: a spanning forest of them.
+
+    A pair is looked at only in the first band it shares, if the registers let it through and its components
+    aren't connected yet; likelier pairs come first, so most components meet at the first try.
+    """
+    root: dict = {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    band = int(np.flatnonzero((x.keys == key).any(axis=0))[0])
+    a, b = [], []
+    for r in range(len(x.ids)):
+        ok = (y.own != x.own[r]) & ~(y.keys[:, :band] == x.keys[r, :band]).any(axis=1)
+        if same:
+            ok &= np.arange(len(y.ids)) > r
+        cand = np.flatnonzero(ok)
+        if not len(cand):
+            continue
+        cand = cand[may_reach(x.regs[r][None, :], y.regs[cand], x.n[r], y.n[cand], percent / 100)]
+        if not len(cand):
+            continue
+        found, _ = estimate(x.regs[r][None, :], y.regs[cand], x.n[r], y.n[cand])
+        for c in cand[np.argsort(-found, kind="stable")].tolist():
+            p, q = find(x.own[r]), find(y.own[c])
+            if p != q and _reach(x.sets()[r], y.sets()[c], percent):
+                root[p] = q
+                a.append(x.ids[r])
+                b.append(y.ids[c])
+    return a, b
+
+
+def _block_links(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verified links between different components that meet in a band.
+
+    ``members``: ``key, id, component_id, n_shingles, regs, text``. A band's members are dealt into blocks of about
+    ``BLOCK`` and about a megabyte of text; each pair of its blocks is one row and gives no more links than it has members.
     """
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("key").agg(F.ceil(F.count("id") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(written(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocks = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component_id", "n_shingles", "regs")).alias("rows"))
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("id") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / (1 << 20))).cast("int").alias("blocks"))
+    dealt = members.join(written(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))).cast("int"))
+    blocks = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component_id", "n_shingles", "regs", "text")).alias("rows"))
     blocks = written(blocks, "blocks")
     left, right = (blocks.select("key", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
-    met = left.join(right, "key").where("block_a <= block_b").select("rows_a", "rows_b", (F.col("block_a") == F.col("block_b")).alias("same"))
+    met = left.join(right, "key").where("block_a <= block_b").select("key", (F.col("block_a") == F.col("block_b")).alias("same"), "rows_a", "rows_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values for c in (0, 1))
-                ids_x, ids_y = x.field("id").to_numpy(zero_copy_only=False), y.field("id").to_numpy(zero_copy_only=False)
-                own_x, own_y = x.field("component_id").to_numpy(zero_copy_only=False), y.field("component_id").to_numpy(zero_copy_only=False)
-                n_x, n_y = (v.field("n_shingles").to_numpy(zero_copy_only=False).astype(np.float64) for v in (x, y))
-                regs_x, regs_y = _regs(x.field("regs")), _regs(y.field("regs"))
-                same = batch.column(2)[k].as_py()
-                a, b = [], []
-                for r in range(len(ids_x)):
-                    cand = np.flatnonzero((own_y != own_x[r]) & (ids_y > ids_x[r])) if same else np.flatnonzero(own_y != own_x[r])
-                    if len(cand):
-                        ok = cand[may_reach(regs_x[r][None, :], regs_y[cand], n_x[r], n_y[cand], threshold)]
-                        a += [ids_x[r]] * len(ok)
-                        b += ids_y[ok].tolist()
-                low, high = [min(p) for p in zip(a, b, strict=True)], [max(p) for p in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(low, batch.column(0).type.value_type.field("id").type), pa.array(high, batch.column(0).type.value_type.field("id").type)], names=["a", "b"])
+                same = batch.column(1)[k].as_py()
+                x = _Members(batch.column(2)[k].values, words)
+                y = x if same else _Members(batch.column(3)[k].values, words)
+                a, b = _links_between(x, y, same, batch.column(0)[k].as_py(), percent)
+                ids = batch.column(2).type.value_type.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
 
     return met.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -243,22 +294,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     # Only members of bands with company go on.
     company = written(met.join(firsts, "key"), "company")
     stars = company.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    linked = _verified(written(_likely(stars, reps, threshold), "likely"), own, words, percent)
-    linked = written(linked.distinct(), "verified")
-    found = written(components(linked), "components")
+    linked = written(_verified(written(_likely(stars, reps, threshold), "likely"), own, words, percent), "verified")
+    # The classes that one key's texts belong to are one document: linked through the least.
+    member = written(whole.join(classes, ["h1", "h2", "n_shingles"]).select("id", "rep").distinct(), "members")
+    least = written(member.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")), "least")
+    mixed = member.join(least.where("least <> most"), "id").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    found = written(components(linked.unionByName(mixed)), "components")
 
     # Bands that still hold several components: compare the rest, in blocks.
     placed = company.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component_id"))
     placed = written(placed, "placed")
     several = placed.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("id").alias("n")).where("low <> high AND n > 2").select("key")
-    open_ = placed.join(written(several, "several"), "key", "left_semi").join(reps, "id")
-    more = written(_block_pairs(open_, threshold).distinct(), "further")
-    if more.head(1):
-        further = written(_verified(more, own, words, percent).distinct(), "verified")
-        linked = linked.unionByName(further)
-    copies = whole.join(classes.where("copies > 1"), ["h1", "h2", "n_shingles"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(linked.unionByName(copies))
-    out = made.select("id", "n_shingles").join(found, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    open_ = written(placed.join(written(several, "several"), "key", "left_semi"), "open")
+    if open_.head(1):
+        further = _block_links(open_.join(reps, "id").join(own, "id"), words, percent)
+        # what is connected already stands for the links that connected it
+        found = written(components(further.unionByName(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "components")
+    placed = least.select("id", F.col("least").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = made.select("id", "n_shingles").join(placed.select("id", F.coalesce("component_id", "rep").alias("component_id")), "id", "left")
+    out = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
