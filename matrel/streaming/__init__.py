@@ -1,0 +1 @@
+"""Nothing here: the engine's operators work on whole relations, and none of them is defined on streams."""
