@@ -73,7 +73,7 @@ def statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1])]], names=["key", *STATISTICS])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_words.tidy(run), f"key {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
     return out.withColumnRenamed("key", key)
 
 
@@ -111,30 +111,33 @@ def hold(rules: tuple[Rule, ...] | list[Rule], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lead: Rule) -> list[Rule]:
+def _binned(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each statistic as the number of its cuts (quantiles of all rows) that lie below the value, and the cuts."""
+    cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, CUTS + 2)[1:-1])) for k in range(x.shape[1])]
+    return np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], 1), cuts
+
+
+def _paths(bins: np.ndarray, cuts: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, depth: int, lead: Rule) -> list[Rule]:
     """Rules of one tree: the paths to all its nodes but the root. Splits lower the Gini impurity most."""
     if depth == 0 or len(y) < 20 or y.min() == y.max():
         return []
-    best = (0.0, 0, 0.0)
+    best = (0.0, 0, 0)
     n, ones = len(y), y.sum()
-    for k in rng.choice(x.shape[1], max(1, x.shape[1] // 2), replace=False):
-        values = x[:, k]
-        for t in np.unique(np.quantile(values, np.linspace(0, 1, CUTS + 2)[1:-1])):
-            left = values <= t
-            a = left.sum()
-            if 5 <= a <= n - 5:
-                p = y[left].sum()
-                gain = p * p / a + (ones - p) ** 2 / (n - a) - ones * ones / n
-                if gain > best[0]:
-                    best = (gain, int(k), float(t))
-    gain, k, t = best
+    for k in rng.choice(bins.shape[1], max(1, bins.shape[1] // 2), replace=False):
+        a = np.cumsum(np.bincount(bins[:, k], minlength=len(cuts[k]) + 1))[:-1]
+        p = np.cumsum(np.bincount(bins[:, k], y, len(cuts[k]) + 1))[:-1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where((a >= 5) & (a <= n - 5), p * p / a + (ones - p) ** 2 / (n - a) - ones * ones / n, 0.0)
+        if len(gain) and gain.max() > best[0]:
+            best = (float(gain.max()), int(k), int(gain.argmax()))
+    gain, k, cut = best
     if gain <= 1e-9:
         return []
     out = []
     for above in (False, True):
-        rule = (*lead, (k, above, t))
-        side = (x[:, k] > t) == above
-        out += [rule, *_paths(x[side], y[side], rng, depth - 1, rule)]
+        rule = (*lead, (k, above, float(cuts[k][cut])))
+        side = (bins[:, k] > cut) == above
+        out += [rule, *_paths(bins[side], cuts, y[side], rng, depth - 1, rule)]
     return out
 
 
@@ -166,9 +169,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4) -> RuleEnsemb
         return RuleEnsemble((), (), 6.0 if len(y) and y[0] else -6.0 if len(y) else 0.0)
     rng = np.random.default_rng(_SEED)
     rules: dict[Rule, None] = {}
+    bins, cuts = _binned(x)
     for _ in range(TREES):
         rows = rng.choice(len(y), min(len(y), 4000))
-        for rule in _paths(x[rows], y[rows], rng, DEPTH, ()):
+        for rule in _paths(bins[rows], cuts, y[rows], rng, DEPTH, ()):
             rules[rule] = None
     kept = list(rules)
     if not kept:
