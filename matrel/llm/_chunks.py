@@ -100,11 +100,14 @@ def parts(text: str) -> list[str]:
 class Encoder:
     """Whole texts to ids (packed little-endian unsigned 32-bit) or to counts."""
 
-    def __init__(self, path: str, proven: dict[str, int] | None = None):
-        """``proven``: strings known to encode alone as one token."""
+    def __init__(self, path: str):
         self.path = path
-        seed = dict.fromkeys((s[1:] for s in proven or () if s.startswith(" ")), 1)
-        self._counts = _Map(lambda part: len(encode_part(path, " " + part)), seed)
+
+    @functools.cached_property
+    def _counts(self) -> _Map:
+        """Counts of parts; those of the proven tokens stand from the start."""
+        seed = dict.fromkeys((s[1:] for s in proven(self.path) if s.startswith(" ")), 1)
+        return _Map(lambda part: len(encode_part(self.path, " " + part)), seed)
 
     def ids(self, text: str) -> bytes:
         fast = ranks(self.path)
@@ -123,7 +126,7 @@ class Encoder:
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One for each worker process: later tasks find the parts that earlier ones met."""
-    return Encoder(path, proven(path))
+    return Encoder(path)
 
 
 @functools.lru_cache(maxsize=4)

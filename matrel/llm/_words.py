@@ -6,7 +6,8 @@ the column's own buffer, so the cost is a few nanoseconds a byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,31 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each; a longer text stands alone, whole."""
+#: Text worked on at once, in bytes; the tables and arrays of a slice are some forty times as large.
+SLICE = (1 << 19) - 16
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that gives freed memory back to the system when a task ends: workers live on, and so would it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``most`` bytes of text each; a longer text stands alone, whole."""
     if batch.num_rows == 0:
         return
     off, _ = string_buffer(batch.column(column))

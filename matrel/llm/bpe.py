@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrel.llm import _words
 from matrel.llm._io import table
 
 #: Words a worker keeps with their ids; further ones are encoded each time they come. Results never change.
@@ -272,15 +273,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in _words.slices(batch, "text"):
                 packed = [coder.ids(t) if t else b"" for t in part.column(1).to_pylist()]
                 ids = pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in packed], pa.list_(pa.int32()))
                 decoded = pa.array([coder.decode(p).decode() for p in packed], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], names=["key", "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, decoded string")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_words.tidy(run), f"key {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("key", key)
 
 
@@ -293,7 +293,7 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _words.slices(whole, "text")):
             n, ids_hex, text_hex = [], [], []
             for t in batch.column(1).to_pylist():
                 packed = coder.ids(t) if t else b""
@@ -303,7 +303,7 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_words.tidy(run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrel.llm import _words
 from matrel.llm._io import table, written
 from matrel.llm.components import components
 
@@ -54,7 +55,7 @@ def _usable(docs: DataFrame, vector: str, label: str, key: str) -> DataFrame:
 
     rows = docs.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, dim int, digest binary, raw binary")
+    return rows.mapInArrow(_words.tidy(run), f"id {kinds['id']}, label {kinds['label']}, dim int, digest binary, raw binary")
 
 
 def _units(raws: list[bytes]) -> np.ndarray:
@@ -98,7 +99,7 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> Dat
 
     schema = f"id {kinds['id']}, label {kinds['label']}, dim int, copies long, raw binary"
     cells = [f"c{k}" for k in range(AXES)]
-    placed = reps.select("id", "label", "dim", "copies", "raw").mapInArrow(place, schema + "".join(f", {c} int" for c in cells))
+    placed = reps.select("id", "label", "dim", "copies", "raw").mapInArrow(_words.tidy(place), schema + "".join(f", {c} int" for c in cells))
     order = ["label", "dim", *cells, "id"]
     # Whole cells may hold any share of the rows: the id in the key lets a range end within one.
     parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -124,7 +125,7 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> Dat
         if held:
             yield block()
 
-    return ordered.mapInArrow(cut, f"label {kinds['label']}, dim int, block {kinds['id']}, c0_low int, c0_high int, c1_low int, c1_high int, low array<double>, high array<double>, ids array<{kinds['id']}>, copies array<long>, raws binary")
+    return ordered.mapInArrow(_words.tidy(cut), f"label {kinds['label']}, dim int, block {kinds['id']}, c0_low int, c0_high int, c1_low int, c1_high int, low array<double>, high array<double>, ids array<{kinds['id']}>, copies array<long>, raws binary")
 
 
 def _near_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
@@ -233,7 +234,7 @@ def near_vectors(docs: DataFrame, threshold: float = 0.93, vector: str = "embedd
     side = lambda x: blocks.select("label", "dim", F.col("block").alias(f"block_{x}"), F.col("ids").alias(f"ids_{x}"), F.col("copies").alias(f"copies_{x}"), F.col("raws").alias(f"raws_{x}"))
     both = pairs.join(side("a"), ["label", "dim", "block_a"]).join(side("b"), ["label", "dim", "block_b"])
     both = both.select((F.col("block_a") == F.col("block_b")).alias("same"), "ids_a", "ids_b", "copies_a", "copies_b", "raws_a", "raws_b")
-    found = written(both.mapInArrow(run, f"id {id_kind}, n long, root {id_kind}"), "found")
+    found = written(both.mapInArrow(_words.tidy(run), f"id {id_kind}, n long, root {id_kind}"), "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(usable.join(classes.where("copies > 1"), ["label", "digest"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     members = usable.select("id", "label", "digest").join(classes, ["label", "digest"]).select("id", "rep", "copies")

@@ -81,7 +81,7 @@ def _leaves(rows: DataFrame, least: int) -> DataFrame:
                 both = np.stack([found.doc[long].astype(np.int64), found.leaf[long].view(np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(both, axis=1)[1])], names=["leaf"])
 
-    return rows.select("text").mapInArrow(run, "leaf long").groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
+    return rows.select("text").mapInArrow(_words.tidy(run), "leaf long").groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
 
 
 def _bitmap(leaves: DataFrame) -> bytes:
@@ -113,7 +113,7 @@ def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
                 doc = pa.array(found.doc[hit])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(found.line[hit].astype(np.int32)), pa.array(found.leaf[hit].view(np.int64)), pa.array(found.around[hit].view(np.int64)), pa.array(n.astype(np.int32)), tokens], names=["id", "mark", "line", "leaf", "around", "n", "tokens"])
 
-    return rows.mapInArrow(run, f"id {kind}, mark long, line int, leaf long, around long, n int, tokens array<long>")
+    return rows.mapInArrow(_words.tidy(run), f"id {kind}, mark long, line int, leaf long, around long, n int, tokens array<long>")
 
 
 def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, words: int = 5, text: str = "text", key: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(sums[0]), pa.array(sums[1]), binary], names=["id", "n_shingles", "h1", "h2", "regs"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, h1 long, h2 long, regs binary")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_words.tidy(run), f"id {kind}, n_shingles long, h1 long, h2 long, regs binary")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -141,7 +141,16 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     # b first: it is mostly another one in each pair; a may stand in very many
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(_words.tidy(run), f"a {kind}, b {kind}")
+
+
+def _sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The shingle set of each text, made a slice at a time."""
+    out = []
+    for part in _words.slices(pa.record_batch([texts], names=["text"]), "text"):
+        first, hashes = _words.shingle_sets(_words.Words(*_words.string_buffer(part.column(0))), words)
+        out += [hashes[a:b].copy() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -152,13 +161,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
         coded = column.dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        first, hashes = _words.shingle_sets(_words.Words(*_words.string_buffer(coded.dictionary)), words)
-        own = [hashes[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        return [own[k] if k is not None else hashes[:0] for k in coded.indices.to_pylist()]
+        own = _sets_of(coded.dictionary, words)
+        none = np.zeros(0, np.uint64)
+        return [own[k] if k is not None else none for k in coded.indices.to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _words.slices(whole, "text_b", 1 << 22):
+            for batch in _words.slices(whole, "text_b", 1 << 20):
                 keep = []
                 for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
                     keep.append(_reach(x, y, percent))
@@ -166,7 +175,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     side = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_words.tidy(run), f"a {kind}, b {kind}")
 
 
 class _Members:
@@ -178,15 +187,12 @@ class _Members:
         self.n = rows.field("n_shingles").to_numpy(zero_copy_only=False).astype(np.float64)
         self.regs = _regs(rows.field("regs"))
         self.keys = band_keys(self.regs)
-        self._texts = pa.record_batch([rows.field("text")], names=["text"])
+        self._texts = rows.field("text")
         self._words, self._sets = words, None
 
     def sets(self) -> list[np.ndarray]:
         if self._sets is None:
-            self._sets = []
-            for part in _words.slices(self._texts, "text"):
-                first, hashes = _words.shingle_sets(_words.Words(*_words.string_buffer(part.column(0))), self._words)
-                self._sets += [hashes[a:b].copy() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            self._sets = _sets_of(self._texts, self._words)
         return self._sets
 
 
@@ -258,7 +264,7 @@ def _block_links(members: DataFrame, words: int, percent: int) -> DataFrame:
                 ids = batch.column(2).type.value_type.field("id").type
                 yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], names=["a", "b"])
 
-    return met.mapInArrow(run, f"a {kind}, b {kind}")
+    return met.mapInArrow(_words.tidy(run), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -289,7 +295,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), ids], names=["key", "id"])
 
-    met = reps.select("id", "regs").mapInArrow(bands, f"key long, id {kind}")
+    met = reps.select("id", "regs").mapInArrow(_words.tidy(bands), f"key long, id {kind}")
     firsts = written(met.groupBy("key").agg(F.min("id").alias("a"), F.count("id").alias("n")).where("n > 1").select("key", "a"), "bands")
     # Only members of bands with company go on.
     company = written(met.join(firsts, "key"), "company")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matrel.llm import _chunks
+from matrel.llm import _chunks, _words
 from matrel.llm._io import table, written
 
 CAPACITY = 1024
@@ -156,7 +156,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _chunks.encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _words.slices(whole, "text")):
             take, piece, start, length, crc = [], [], [], [], []
             for row, t in enumerate(batch.column(1).to_pylist()):
                 ids = (encoder.ids(t) if t else b"") + end
@@ -172,7 +172,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPA
             yield pa.RecordBatch.from_arrays([keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["key", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_words.tidy(run), f"key {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS, text: str = "text", key: str = "doc_id") -> DataFrame:

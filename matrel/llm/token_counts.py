@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrel.llm import _chunks
+from matrel.llm import _chunks, _words
 from matrel.llm._io import table
 
 
@@ -37,13 +37,13 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _chunks.encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _words.slices(whole, "text")):
             n = [encoder.count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], names=["key", "n_tokens", "n_bytes"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(run, f"key {kind}, n_tokens long, n_bytes long")
+    out = rows.mapInArrow(_words.tidy(run), f"key {kind}, n_tokens long, n_bytes long")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 b = np.bincount(at, 1 - y, len(names))
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(a), pa.array(b)], names=["h", "a", "b"])
 
-    counted = rows.where("part > 0").select("text", "y").mapInArrow(count, "h long, a double, b double").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = rows.where("part > 0").select("text", "y").mapInArrow(_words.tidy(count), "h long, a double, b double").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counted = written(counted.where("a + b > 2"), "toxicity-features")
     learned = rows.where("part > 0").agg(F.sum("y").alias("bad"), F.count("y").alias("all")).first()
     bad = float(learned["bad"] or 0)
@@ -173,9 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(n.astype(np.float64)), batch.column(1), pa.array(np.diff(x[words.first]))], names=["best", "n", "y", "hits"])
 
     # as many short rows as the sample has
-    got = rows.where("part = 0").select("text", "y").mapInArrow(score, "best double, n double, y double, hits double").toPandas()
+    got = rows.where("part = 0").select("text", "y").mapInArrow(_words.tidy(score), "best double, n double, y double, hits double").toPandas()
     if got["y"].nunique() < 2:
-        got = rows.select("text", "y").mapInArrow(score, "best double, n double, y double, hits double").toPandas()
+        got = rows.select("text", "y").mapInArrow(_words.tidy(score), "best double, n double, y double, hits double").toPandas()
     best, n, y = got["best"].to_numpy(), got["n"].to_numpy(), got["y"].to_numpy()
     rate = _rate(got["hits"].to_numpy()[y == 0].sum() / max(1.0, n[y == 0].sum()), model.odds)
     slope, bias = _logistic(evidence(best, n, rate), y)
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text", key: str = "doc_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.chance(best, n)), pa.array(spans, kind)], names=["key", "score", "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double, spans array<struct<start:bigint,stop:bigint,score:double>>").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_words.tidy(run), f"key {kind}, score double, spans array<struct<start:bigint,stop:bigint,score:double>>").withColumnRenamed("key", key)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
