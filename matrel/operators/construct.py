@@ -30,8 +30,8 @@ def compress(a: Matrix) -> Matrix:
 
 
 def insert_last(triplets: DataFrame, nrows: int, ncols: int, order: str = "seq") -> Matrix:
-    """Assembly where the last insertion of an entry wins; ``order`` is the insertion's number."""
-    return Matrix(triplets.groupBy("i", "j").agg(F.max_by("v", order).alias("v")), nrows, ncols)
+    """Assembly where the last insertion of an entry wins; ``order`` is the insertion's number (of equal ones the larger value stands)."""
+    return Matrix(triplets.groupBy("i", "j").agg(F.max_by("v", F.struct(order, "v")).alias("v")), nrows, ncols)
 
 
 def insert_plus(triplets: DataFrame, nrows: int, ncols: int) -> Matrix:
@@ -54,7 +54,7 @@ def shifted(triplets: DataFrame, rows: int, cols: int) -> DataFrame:
 def vector_insert(pairs: DataFrame, n: int, plus: bool = False, order: str = "seq") -> Vector:
     """A sparse vector from insertions: the last one wins, or they add up."""
     kind = pairs.schema["v"].dataType
-    value = F.sum("v").cast(kind) if plus else F.max_by("v", order)
+    value = F.sum("v").cast(kind) if plus else F.max_by("v", F.struct(order, "v"))
     return Vector(pairs.groupBy("i").agg(value.alias("v")), n)
 
 

@@ -70,11 +70,11 @@ def _inserted(s: SparkSession, sf: str) -> DataFrame:
     return fx.table(s, sf, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").cast("bigint").alias("v"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
 
-add("insert_last_wins", lambda s, sf: construct.insert_last(_inserted(s, sf), 0, 0).df, f"SELECT i, j, arg_max(v, seq) AS v FROM ({_seq}) GROUP BY 1, 2")
+add("insert_last_wins", lambda s, sf: construct.insert_last(_inserted(s, sf), 0, 0).df, f"SELECT i, j, arg_max(v, seq * 100 + v) AS v FROM ({_seq}) GROUP BY 1, 2")
 add("insert_plus", lambda s, sf: construct.insert_plus(_inserted(s, sf), 0, 0).df, "SELECT i, j, v FROM a")
 add("insert_with_updater", lambda s, sf: construct.insert_with(_inserted(s, sf), 0, 0, F.greatest, F.lit(0).cast("bigint")).df, "SELECT i, j, max(v) AS v FROM raw GROUP BY 1, 2")
 add("shifted_insert", _q(lambda a: construct.shifted(a.df, 100, 200)), "SELECT i + 100 AS i, j + 200 AS j, v FROM q")
-add("vector_insert", lambda s, sf: construct.vector_insert(_inserted(s, sf).select("i", "v", "seq"), 0).df, f"SELECT i, arg_max(v, seq) AS v FROM ({_seq}) GROUP BY 1")
+add("vector_insert", lambda s, sf: construct.vector_insert(_inserted(s, sf).select("i", "v", "seq"), 0).df, f"SELECT i, arg_max(v, seq * 100 + v) AS v FROM ({_seq}) GROUP BY 1")
 add("vector_insert_plus", lambda s, sf: construct.vector_insert(_inserted(s, sf).select("i", "v"), 0, plus=True).df, "SELECT i, CAST(sum(v) AS BIGINT) AS v FROM a GROUP BY 1")
 add("vector_exists", _u(lambda x: construct.exists(x, x.df.sparkSession.range(60).select(F.col("id").alias("i")))), "SELECT t.i, u.i IS NOT NULL AS found FROM range(60) t(i) LEFT JOIN u ON t.i = u.i")
 add("vector_crop", lambda s, sf: construct.crop(fx.sizes(s, sf), 40).df, "SELECT i, v FROM x WHERE abs(v) >= 40")
@@ -253,7 +253,7 @@ add("axpy", _uw(lambda x, y: products.axpy(3, x, y)), "SELECT i, CAST(sum(v) AS
 _mm = "SELECT q.i, r.j, CAST(sum(q.v * r.v) AS BIGINT) AS v FROM q JOIN r ON q.j = r.i GROUP BY q.i, r.j"
 add("matmul", _qr(products.matmul), _mm)
 add("spgemm", lambda s, sf: products.spgemm(fx.quantities(s, sf).where(F.col("i") < 30), views.transposed(fx.quantities(s, sf))).df, "SELECT b1.i, b2.i AS j, CAST(sum(b1.v * b2.v) AS BIGINT) AS v FROM (SELECT * FROM a WHERE i < 30) b1 JOIN a b2 ON b1.j = b2.j GROUP BY 1, 2")
-add("matmul_blocks", _qr(lambda a, b: products.matmul_blocks(a, b, 16).map(lambda v: v.cast("bigint"))), "SELECT t.i, s.j, CAST(coalesce(m.v, 0) AS BIGINT) AS v FROM range(48) t(i) CROSS JOIN range(48) s(j) LEFT JOIN (SELECT q.i, r.j, sum(q.v * r.v) AS v FROM q JOIN r ON q.j = r.i GROUP BY q.i, r.j) m ON m.i = t.i AND m.j = s.j")
+add("matmul_blocks", _qr(lambda a, b: products.matmul_blocks(a, b, 16).where(F.col("v") != 0).map(lambda v: v.cast("bigint"))), _mm + " HAVING sum(q.v * r.v) <> 0")
 add("matmul_quad", _qr(lambda a, b: products.matmul_quad(a.map(lambda v: v % 256), b.map(lambda v: v % 128))), "SELECT q.i, r.j, CAST(sum((q.v % 256) * (r.v % 128)) AS BIGINT) AS v FROM q JOIN r ON q.j = r.i GROUP BY q.i, r.j")
 add("product_chain", lambda s, sf: products.chain(fx.square(s, sf), fx.other(s, sf), fx.short(s, sf)).df, "SELECT q.i, CAST(sum(q.v * y.v) AS BIGINT) AS v FROM q JOIN (SELECT r.i, sum(r.v * u.v) AS v FROM r JOIN u ON r.j = u.i GROUP BY r.i) y ON q.j = y.i GROUP BY q.i")
 add("kron", lambda s, sf: products.kron(views.sub_matrix(fx.square(s, sf), 0, 6, 0, 6), views.sub_matrix(fx.other(s, sf), 0, 5, 0, 7)).df, "SELECT q.i * 5 + r.i AS i, q.j * 7 + r.j AS j, q.v * r.v AS v FROM q, r WHERE q.i < 6 AND q.j < 6 AND r.i < 5 AND r.j < 7")
