@@ -5,8 +5,9 @@ with a digit are variable at once. In a leaf, a token is constant where enough l
 any other is a variable field. A line whose constant share is high enough has a template, its constants by place, and
 templates that recur across documents are dropped.
 
-A template recurs where it stands in enough different surroundings: copies of one document repeat its lines between the same
-neighbours, which is for document dedup to judge, while boilerplate stands between lines of all kinds.
+A template recurs where it stands in enough different surroundings and in texts of enough copy groups: copies of one document
+repeat its lines, which is for document dedup to judge, while boilerplate stands in texts of all kinds. Equal texts are one; a
+text's group is the least text it resembles, found by bands of MinHash registers. So copies add nothing to a count, and take nothing from it.
 
 Everything is counted by partial sums over the tree's nodes, so no leaf is ever gathered in one place.
 """
@@ -20,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matrel.llm import _words
+from matrel.llm import _words, minhash
 from matrel.llm._io import table, written
 
-#: Surroundings in which a template must stand to recur, and the share of its lines that must have their own.
-LEAST, OWN = 5, 0.5
+#: Surroundings and copy groups in which a template must stand to recur.
+LEAST = 5
+#: Share of the rule before copy groups. Nothing here reads it, only the brute force of older tests does.
+OWN = 0.5
 #: Tokens a line must have, leading tokens that choose the leaf, and the share of places that must be constant.
 TOKENS, DEPTH, CONSTANT = 5, 3, 0.7
+#: Estimated similarity (of sets of five words in a row) from which a text is in another's copy group.
+ALIKE = 0.5
 #: Size of the bitmap of leaves, in bits: the only thing sent to all tasks, 4 MB whatever the corpus.
 BITMAP = 1 << 25
 _PART = 1 << 15
@@ -116,6 +121,39 @@ def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
     return rows.mapInArrow(_words.tidy(run), f"id {kind}, mark long, line int, leaf long, around long, n int, tokens array<long>")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """Rows ``mark, group``: the least text a text resembles, of those that are least in one of its bands; none for texts without such."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _words.slices(whole, "text"):
+                first, hashes = _words.shingle_sets(_words.Words(*_words.string_buffer(batch.column(1))))
+                some = np.flatnonzero(np.diff(first))
+                regs = pa.array([r.tobytes() for r in minhash.registers(first, hashes)[some]], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(np.diff(first)[some], pa.int64()), regs], names=["mark", "n", "regs"])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = minhash.band_keys(minhash._regs(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), minhash.BANDS)), pa.array(keys.ravel())], names=["mark", "band"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 4))
+            found, _ = minhash.estimate(minhash._regs(batch.column(3)), minhash._regs(batch.column(5)), n, m)
+            yield batch.select([0, 1]).filter(pa.array(found >= ALIKE))
+
+    sketches = rows.select("mark", "text").mapInArrow(_words.tidy(sketched), "mark long, n long, regs binary")
+    sketches = written(sketches.groupBy("mark").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "sketches")
+    bands = sketches.select("mark", "regs").mapInArrow(_words.tidy(banded), "mark long, band long")
+    least = bands.groupBy("band").agg(F.min("mark").alias("group"), F.max("mark").alias("most")).where(F.col("group") < F.col("most"))
+    least = written(least.select("band", "group"), "least")
+    pairs = bands.join(least, "band").where(F.col("group") < F.col("mark")).select("mark", "group").distinct()
+    both = pairs.join(sketches, "mark").join(sketches.select(F.col("mark").alias("group"), F.col("n").alias("n_g"), F.col("regs").alias("regs_g")), "group")
+    linked = both.select("mark", "group", "n", "regs", "n_g", "regs_g").mapInArrow(_words.tidy(alike), "mark long, group long")
+    return linked.groupBy("mark").agg(F.min("group").alias("group"))
+
+
 def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows ``id, mark, line, template``: the lines whose template recurs. ``mark`` is the text's hash, ``line`` counts from 0."""
     rows = _rows(docs, text, key)
@@ -131,9 +169,11 @@ def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key
     named = fixed.groupBy("id", "mark", "line", "leaf", "around", "n").agg(F.bit_xor(F.xxhash64("place", "token")).alias("template"), F.count("place").alias("fixed"))
     named = named.where(F.col("fixed") >= CONSTANT * F.col("n")).drop("fixed", "n")
     named = written(named, "named")
-    per = named.groupBy("leaf", "template", "around").agg(F.count("line").alias("lines"))
-    counted = per.groupBy("leaf", "template").agg(F.count("around").alias("places"), F.sum("lines").alias("lines"))
-    recurring = written(counted.where((F.col("places") >= least) & (F.col("places") >= OWN * F.col("lines"))).select("leaf", "template"), "templates")
+    placed = named.select("leaf", "template", "around").distinct().groupBy("leaf", "template").count().where(F.col("count") >= least)
+    # Only texts of templates that may recur are looked up: one row for each text and template, however many its copies.
+    held = named.select("leaf", "template", "mark").distinct().join(placed.select("leaf", "template"), ["leaf", "template"])
+    held = held.join(written(_groups(rows), "groups"), "mark", "left").select("leaf", "template", F.coalesce("group", "mark").alias("group"))
+    recurring = written(held.distinct().groupBy("leaf", "template").count().where(F.col("count") >= least).select("leaf", "template"), "templates")
     return named.join(recurring, ["leaf", "template"]).select("id", "mark", "line", "template")
 
 
