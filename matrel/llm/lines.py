@@ -5,8 +5,8 @@ with a digit are variable at once. In a leaf, a token is constant where enough l
 any other is a variable field. A line whose constant share is high enough has a template, its constants by place, and
 templates that recur across documents are dropped.
 
-A template recurs where it stands in enough different surroundings and in texts of enough copy groups: copies of one document
-repeat its lines, which is for document dedup to judge, while boilerplate stands in texts of all kinds. Equal texts are one; a
+A template recurs where it stands in texts of enough copy groups, whatever its neighbours: copies of one document repeat
+its lines, which is for document dedup to judge, while boilerplate stands in texts of all kinds. Equal texts are one; a
 text's group is the least text it resembles, found by bands of MinHash registers. So copies add nothing to a count, and take nothing from it.
 
 Everything is counted by partial sums over the tree's nodes, so no leaf is ever gathered in one place.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from matrel.llm import _words, minhash
 from matrel.llm._io import table, written
 
-#: Surroundings and copy groups in which a template must stand to recur.
+#: Copy groups in which a template must stand to recur.
 LEAST = 5
 #: Share of the rule before copy groups. Nothing here reads it, only the brute force of older tests does.
 OWN = 0.5
@@ -40,7 +40,7 @@ _LEVELS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC
 
 
 class _Lines:
-    """The lines of a batch of texts, with their tokens, leaves and surroundings."""
+    """The lines of a batch of texts, with their tokens and leaves."""
 
     def __init__(self, column: pa.Array):
         off, data = _words.string_buffer(column)
@@ -61,14 +61,6 @@ class _Lines:
             has = self.count > k
             key[has] += self.token[self.first[:-1][has] + k] * _LEVELS[1 + k]
         self.leaf = _words.mix64(key)
-        real = np.flatnonzero(self.count > 0)
-        before, after = np.zeros(len(real), np.uint64), np.zeros(len(real), np.uint64)
-        if len(real) > 1:
-            same = self.doc[real][1:] == self.doc[real][:-1]
-            before[1:] = np.where(same, self.leaf[real][:-1], 0)
-            after[:-1] = np.where(same, self.leaf[real][1:], 0)
-        self.around = np.zeros(len(self.leaf), np.uint64)
-        self.around[real] = _words.mix64(before * _LEVELS[1] + after * _LEVELS[2] + np.uint64(1))
 
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -100,7 +92,7 @@ def _bitmap(leaves: DataFrame) -> bytes:
 
 
 def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
-    """Rows ``id, mark, line, leaf, around, n, tokens`` for the lines whose leaf has its bit set."""
+    """Rows ``id, mark, line, leaf, n, tokens`` for the lines whose leaf has its bit set."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -116,9 +108,9 @@ def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
                 place = np.repeat(found.first[:-1][hit] - offsets[:-1], n) + np.arange(offsets[-1])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.token[place].view(np.int64)))
                 doc = pa.array(found.doc[hit])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(found.line[hit].astype(np.int32)), pa.array(found.leaf[hit].view(np.int64)), pa.array(found.around[hit].view(np.int64)), pa.array(n.astype(np.int32)), tokens], names=["id", "mark", "line", "leaf", "around", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(found.line[hit].astype(np.int32)), pa.array(found.leaf[hit].view(np.int64)), pa.array(n.astype(np.int32)), tokens], names=["id", "mark", "line", "leaf", "n", "tokens"])
 
-    return rows.mapInArrow(_words.tidy(run), f"id {kind}, mark long, line int, leaf long, around long, n int, tokens array<long>")
+    return rows.mapInArrow(_words.tidy(run), f"id {kind}, mark long, line int, leaf long, n int, tokens array<long>")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -160,18 +152,18 @@ def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key
     leaves = written(_leaves(rows, least), "leaves")
     lines = _candidates(rows, _bitmap(leaves)).join(leaves, "leaf", "left_semi")
     lines = written(lines, "lines")
-    tokens = lines.select("id", "mark", "line", "leaf", "around", "n", F.posexplode("tokens").alias("place", "token"))
+    tokens = lines.select("id", "mark", "line", "leaf", "n", F.posexplode("tokens").alias("place", "token"))
     variable = int(_VARIABLE.astype(np.int64))
     # Written, so that the join's two sides are both shuffled and a token that very many lines share can be split over tasks.
     constants = tokens.where(F.col("token") != variable).groupBy("leaf", "place", "token").count().where(F.col("count") >= least)
     constants = written(constants.select("leaf", "place", "token"), "constants")
     fixed = tokens.join(constants, ["leaf", "place", "token"])
-    named = fixed.groupBy("id", "mark", "line", "leaf", "around", "n").agg(F.bit_xor(F.xxhash64("place", "token")).alias("template"), F.count("place").alias("fixed"))
+    named = fixed.groupBy("id", "mark", "line", "leaf", "n").agg(F.bit_xor(F.xxhash64("place", "token")).alias("template"), F.count("place").alias("fixed"))
     named = named.where(F.col("fixed") >= CONSTANT * F.col("n")).drop("fixed", "n")
     named = written(named, "named")
-    placed = named.select("leaf", "template", "around").distinct().groupBy("leaf", "template").count().where(F.col("count") >= least)
     # Only texts of templates that may recur are looked up: one row for each text and template, however many its copies.
-    held = named.select("leaf", "template", "mark").distinct().join(placed.select("leaf", "template"), ["leaf", "template"])
+    each = written(named.select("leaf", "template", "mark").distinct(), "held")
+    held = each.join(each.groupBy("leaf", "template").count().where(F.col("count") >= least).select("leaf", "template"), ["leaf", "template"])
     held = held.join(written(_groups(rows), "groups"), "mark", "left").select("leaf", "template", F.coalesce("group", "mark").alias("group"))
     recurring = written(held.distinct().groupBy("leaf", "template").count().where(F.col("count") >= least).select("leaf", "template"), "templates")
     return named.join(recurring, ["leaf", "template"]).select("id", "mark", "line", "template")

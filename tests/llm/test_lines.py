@@ -31,3 +31,12 @@ def test_copies_of_one_document_dont_keep_a_template(spark):
     assert all(line not in x for x in got.values())
     assert all(len(got[k]) == 2 for k in range(80)) and got[80] == [refrain] * 40
     assert all("\n".join(got[k]) == texts[k] for k in range(81, len(texts)))
+
+
+def test_inner_lines_of_a_passage_go(spark):
+    rnd = random.Random(6)
+    passage = [words(rnd, 8) for _ in range(4)]
+    texts = ["\n".join([words(rnd, 40), *passage, words(rnd, 40)]) for _ in range(10)]
+    texts += ["\n".join([*passage, words(rnd, 80)]) for _ in range(10)]
+    got = left(spark, texts)
+    assert all("\n".join(got[k]) == "\n".join(x for x in t.split("\n") if x not in passage) for k, t in enumerate(texts))
