@@ -2,8 +2,10 @@
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, to a leaf. Tokens
 with a digit are variable at once. In a leaf, a token is constant where enough lines have it at that place;
-any other is a variable field. A line whose constant share is high enough has a template, its constants by place, and
-templates that recur across documents are dropped.
+any other is a variable field. Enough is a number of lines, and as well a share of the leaf's lines: the number finds templates
+that are rare in their leaf, the shares keep a field variable however many lines hold each of its values. A line has a template
+for each of these levels at which its constant share is high enough, its constants by place, and goes where one of them recurs
+across documents.
 
 A template recurs where it stands in texts of enough copy groups, whatever its neighbours: copies of one document repeat
 its lines, which is for document dedup to judge, while boilerplate stands in texts of all kinds. Equal texts are one; a
@@ -30,6 +32,8 @@ LEAST = 5
 OWN = 0.5
 #: Tokens a line must have, leading tokens that choose the leaf, and the share of places that must be constant.
 TOKENS, DEPTH, CONSTANT = 5, 3, 0.7
+#: Shares of a leaf's lines from which a token is constant, besides the least number of lines.
+SHARES = (0.0, 0.0625, 0.5)
 #: Estimated similarity (of sets of five words in a row) from which a text is in another's copy group.
 ALIKE = 0.5
 #: Size of the bitmap of leaves, in bits: the only thing sent to all tasks, 4 MB whatever the corpus.
@@ -147,7 +151,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows ``id, mark, line, template``: the lines whose template recurs. ``mark`` is the text's hash, ``line`` counts from 0."""
+    """Rows ``id, mark, line, template``: the lines with each template of theirs that recurs. ``mark`` is the text's hash, ``line`` counts from 0."""
     rows = _rows(docs, text, key)
     leaves = written(_leaves(rows, least), "leaves")
     lines = _candidates(rows, _bitmap(leaves)).join(leaves, "leaf", "left_semi")
@@ -156,10 +160,14 @@ def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key
     variable = int(_VARIABLE.astype(np.int64))
     # Written, so that the join's two sides are both shuffled and a token that very many lines share can be split over tasks.
     constants = tokens.where(F.col("token") != variable).groupBy("leaf", "place", "token").count().where(F.col("count") >= least)
-    constants = written(constants.select("leaf", "place", "token"), "constants")
-    fixed = tokens.join(constants, ["leaf", "place", "token"])
-    named = fixed.groupBy("id", "mark", "line", "leaf", "n").agg(F.bit_xor(F.xxhash64("place", "token")).alias("template"), F.count("place").alias("fixed"))
-    named = named.where(F.col("fixed") >= CONSTANT * F.col("n")).drop("fixed", "n")
+    level = sum((F.col("count") >= F.col("size") * x).cast("int") for x in SHARES)
+    constants = constants.join(lines.groupBy("leaf").agg(F.count("line").alias("size")), "leaf").select("leaf", "place", "token", level.alias("level"))
+    constants = written(constants, "constants")
+    fixed = tokens.join(constants, ["leaf", "place", "token"]).withColumn("bits", F.xxhash64("place", "token"))
+    at = lambda k: F.when(F.col("level") > k, F.col("bits"))
+    named = fixed.groupBy("id", "mark", "line", "leaf", "n").agg(*[f for k in range(len(SHARES)) for f in (F.bit_xor(at(k)).alias(f"template{k}"), F.count(at(k)).alias(f"fixed{k}"))])
+    templates = F.array(*[F.when(F.col(f"fixed{k}") >= CONSTANT * F.col("n"), F.col(f"template{k}")) for k in range(len(SHARES))])
+    named = named.select("id", "mark", "line", "leaf", F.explode(F.array_distinct(F.array_compact(templates))).alias("template"))
     named = written(named, "named")
     # Only texts of templates that may recur are looked up: one row for each text and template, however many its copies.
     each = written(named.select("leaf", "template", "mark").distinct(), "held")

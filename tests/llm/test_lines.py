@@ -40,3 +40,14 @@ def test_inner_lines_of_a_passage_go(spark):
     texts += ["\n".join([*passage, words(rnd, 80)]) for _ in range(10)]
     got = left(spark, texts)
     assert all("\n".join(got[k]) == "\n".join(x for x in t.split("\n") if x not in passage) for k, t in enumerate(texts))
+
+
+def test_fields_stay_variable_at_every_size(spark):
+    rnd = random.Random(7)
+    names, sites = ([words(rnd, 1) for _ in range(20)] for _ in range(2))
+    line = "Shared with the {} on {} today by all of us here"
+    texts = ["\n".join([words(rnd, 15), line.format(a, b)]) for a in names for b in sites]
+    rare = "Shared with the people we know who like to read along"  # in the same leaf, and rare there
+    texts += ["\n".join([words(rnd, 15), rare]) for _ in range(8)]
+    got = left(spark, texts)
+    assert all(len(x) == 1 for x in got.values())
