@@ -15,7 +15,11 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", most: int = SAMPLE) -> DataFrame:
-    """Rows ``text, y`` to learn ``label`` from: labelled 0 or 1, not held out, at most ``most``."""
+    """Rows ``text, y`` to learn ``label`` from: labelled 0 or 1, not held out, at most ``most`` labelled keys.
+
+    Null keys and labels, and other labels, count for nothing. A key labelled twice or both ways gives a row for each label, and one for each
+    of its texts; a null text counts as empty. Empty tables give an empty one.
+    """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key)))
     chosen = usable.select(F.col(key).alias("id"), F.col(label).cast("double").alias("y"), F.xxhash64(F.lit(label), key).alias("h")).orderBy("h", "y").limit(most).drop("h")
     # `most` short rows: a bounded broadcast

@@ -8,8 +8,9 @@ for each of these levels at which its constant share is high enough, its constan
 across documents.
 
 A template recurs where it stands in texts of enough copy groups, whatever its neighbours: copies of one document repeat
-its lines, which is for document dedup to judge, while boilerplate stands in texts of all kinds. Equal texts are one; a
-text's group is the least text it resembles, found by bands of MinHash registers. So copies add nothing to a count, and take nothing from it.
+its lines, which is for document dedup to judge, while boilerplate stands in texts of all kinds. A copy group is a connected
+component of texts that resemble each other, found by bands of MinHash registers. A line counts once in each group, for constants
+as for templates, so copies add nothing to a count, and take nothing from it. The longer a line, the fewer groups are enough.
 
 Everything is counted by partial sums over the tree's nodes, so no leaf is ever gathered in one place.
 """
@@ -20,25 +21,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrel.llm import _words, minhash
 from matrel.llm._io import table, written
+from matrel.llm.components import components
 
-#: Copy groups in which a template must stand to recur.
+#: Copy groups in which a template of ordinary length must stand to recur.
 LEAST = 5
-#: Share of the rule before copy groups. Nothing here reads it, only the brute force of older tests does.
-OWN = 0.5
-#: Tokens a line must have, leading tokens that choose the leaf, and the share of places that must be constant.
-TOKENS, DEPTH, CONSTANT = 5, 3, 0.7
+#: Tokens from which a line is ordinary, long and very long: shorter ones need twice as many groups, long ones half, very long ones two.
+ORDINARY, LONG, VERY_LONG = 5, 25, 50
+#: Tokens a line must have (one or two words in a row recur by chance), leading tokens that choose the leaf, and the share of places that must be constant.
+TOKENS, DEPTH, CONSTANT = 3, 3, 0.7
 #: Shares of a leaf's lines from which a token is constant, besides the least number of lines.
 SHARES = (0.0, 0.0625, 0.5)
 #: Estimated similarity (of sets of five words in a row) from which a text is in another's copy group.
 ALIKE = 0.5
-#: Size of the bitmap of leaves, in bits: the only thing sent to all tasks, 4 MB whatever the corpus.
-BITMAP = 1 << 25
+#: Least and largest size of the bitmap of leaves, in bits: the only thing sent to all tasks, so at most 32 MB. It has 32 bits
+#: a leaf between these; with more leaves than that, more lines are looked up in the table of leaves, and the answer is the same.
+BITMAP = 1 << 20, 1 << 28
 _PART = 1 << 15
+#: Into how many parts a recurring line's rows are dealt where they are looked up, so that one that stands everywhere isn't one task's.
+SALTS = 16
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _LEVELS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
@@ -67,29 +72,48 @@ class _Lines:
         self.leaf = _words.mix64(key)
 
 
+def needed(n: int, least: int = LEAST) -> int:
+    """Copy groups in which a template of ``n`` tokens must stand."""
+    return 2 * least if n < ORDINARY else least if n < LONG else max(2, (least + 1) // 2) if n < VERY_LONG else 2
+
+
+def _needed(least: int) -> Column:
+    """``needed`` of the column ``n``."""
+    return F.when(F.col("n") < ORDINARY, needed(0, least)).when(F.col("n") < LONG, needed(ORDINARY, least)).when(F.col("n") < VERY_LONG, needed(LONG, least)).otherwise(needed(VERY_LONG, least))
+
+
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
 
 
-def _leaves(rows: DataFrame, least: int) -> DataFrame:
-    """Leaves that lines of at least ``least`` texts reach."""
+def _grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` with the copy group of its ``mark`` instead; a text that resembles no other is its own."""
+    return df.join(groups, "mark", "left").withColumn("group", F.coalesce("group", "mark")).drop("mark")
+
+
+def _leaves(rows: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """Leaves that lines of several copy groups reach, and of as many texts as a template there needs groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _words.slices(whole, "text"):
-                found = _Lines(batch.column(0))
+                found = _Lines(batch.column(1))
                 long = found.count >= TOKENS
-                both = np.stack([found.doc[long].astype(np.int64), found.leaf[long].view(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(both, axis=1)[1])], names=["leaf"])
+                mark = batch.column(0).to_numpy()[found.doc[long]]
+                once = np.unique(np.stack([mark, found.leaf[long].view(np.int64), found.count[long].astype(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in once], names=["mark", "leaf", "n"])
 
-    return rows.select("text").mapInArrow(_words.tidy(run), "leaf long").groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
+    seen = rows.select("mark", "text").mapInArrow(_words.tidy(run), "mark long, leaf long, n long").distinct()
+    met = _grouped(seen, groups).groupBy("leaf").agg(F.max("n").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"), F.count("n").alias("texts"))
+    return met.where((F.col("low") < F.col("high")) & (F.col("texts") >= _needed(least))).select("leaf")
 
 
 def _bitmap(leaves: DataFrame) -> bytes:
-    """A bit for each leaf's hash, in one piece of fixed size; other leaves may share bits and are sorted out later."""
-    at = F.pmod("leaf", F.lit(BITMAP))
+    """A bit for each leaf's hash, in one piece of bounded size; other leaves may share bits and are sorted out later."""
+    size = min(max(BITMAP[0], 1 << (32 * leaves.count()).bit_length()), BITMAP[1])
+    at = F.pmod("leaf", F.lit(size))
     parts = leaves.groupBy(F.floor(at / _PART).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(_PART))).alias("bits")).collect()
-    out = bytearray(BITMAP // 8)
+    out = bytearray(size // 8)
     for r in parts:
         out[r["part"] * _PART // 8 : (r["part"] + 1) * _PART // 8] = r["bits"]
     return bytes(out)
@@ -102,10 +126,11 @@ def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = np.frombuffer(held.value, np.uint8)
+        mask = np.uint64(8 * len(table_) - 1)
         for whole in batches:
             for batch in _words.slices(whole, "text"):
                 found = _Lines(batch.column(2))
-                at = (found.leaf & np.uint64(BITMAP - 1)).astype(np.int64)
+                at = (found.leaf & mask).astype(np.int64)
                 hit = np.flatnonzero((found.count >= TOKENS) & ((table_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
                 n = found.count[hit]
                 offsets = np.concatenate([[0], np.cumsum(n)])
@@ -117,8 +142,11 @@ def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
     return rows.mapInArrow(_words.tidy(run), f"id {kind}, mark long, line int, leaf long, n int, tokens array<long>")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """Rows ``mark, group``: the least text a text resembles, of those that are least in one of its bands; none for texts without such."""
+def copy_groups(rows: DataFrame) -> DataFrame:
+    """Rows ``mark, group`` for the texts (``mark, text``) that resemble others: the least mark of their connected component.
+
+    Texts that share a band are each compared with the band's least; an estimate of at least ``ALIKE`` links them.
+    """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,50 +175,63 @@ def _groups(rows: DataFrame) -> DataFrame:
     pairs = bands.join(least, "band").where(F.col("group") < F.col("mark")).select("mark", "group").distinct()
     both = pairs.join(sketches, "mark").join(sketches.select(F.col("mark").alias("group"), F.col("n").alias("n_g"), F.col("regs").alias("regs_g")), "group")
     linked = both.select("mark", "group", "n", "regs", "n_g", "regs_g").mapInArrow(_words.tidy(alike), "mark long, group long")
-    return linked.groupBy("mark").agg(F.min("group").alias("group"))
+    return components(linked.select(F.col("mark").alias("a"), F.col("group").alias("b"))).select(F.col("id").alias("mark"), F.col("component_id").alias("group"))
 
 
 def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows ``id, mark, line, template``: the lines with each template of theirs that recurs. ``mark`` is the text's hash, ``line`` counts from 0."""
+    """Rows ``id, mark, line, template``: the lines of which a template recurs, each once, with the least such template.
+
+    ``mark`` is the text's hash, ``line`` counts from 0. Null and empty texts have no lines here; null keys are allowed; rows with equal
+    key and text are one; an empty table gives none.
+    """
     rows = _rows(docs, text, key)
-    leaves = written(_leaves(rows, least), "leaves")
-    lines = _candidates(rows, _bitmap(leaves)).join(leaves, "leaf", "left_semi")
+    groups = written(copy_groups(rows), "groups")
+    leaves = written(_leaves(rows, groups, least), "leaves")
+    lines = _candidates(rows, _bitmap(leaves)).join(leaves, "leaf", "left_semi").withColumn("same", F.xxhash64("tokens"))
     lines = written(lines, "lines")
-    tokens = lines.select("id", "mark", "line", "leaf", "n", F.posexplode("tokens").alias("place", "token"))
+    # From here on a line is one of its kind: those of a leaf with the same tokens, with the copy groups it stands in.
+    held = written(_grouped(lines.select("leaf", "same", "mark").distinct(), groups).distinct(), "held")
+    kinds = lines.groupBy("leaf", "same").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    kinds = written(kinds.join(held.groupBy("leaf", "same").agg(F.count("group").alias("groups")), ["leaf", "same"]), "kinds")
+    tokens = kinds.select("leaf", "same", "n", "groups", F.posexplode("tokens").alias("place", "token"))
     variable = int(_VARIABLE.astype(np.int64))
-    # Written, so that the join's two sides are both shuffled and a token that very many lines share can be split over tasks.
-    constants = tokens.where(F.col("token") != variable).groupBy("leaf", "place", "token").count().where(F.col("count") >= least)
+    constants = tokens.where(F.col("token") != variable).groupBy("leaf", "place", "token").agg(F.sum("groups").alias("count"), F.max("n").alias("n")).where(F.col("count") >= _needed(least))
     level = sum((F.col("count") >= F.col("size") * x).cast("int") for x in SHARES)
-    constants = constants.join(lines.groupBy("leaf").agg(F.count("line").alias("size")), "leaf").select("leaf", "place", "token", level.alias("level"))
+    constants = constants.join(kinds.groupBy("leaf").agg(F.sum("groups").alias("size")), "leaf").select("leaf", "place", "token", level.alias("level"))
+    # Written, so that the join's two sides are both shuffled and a token that very many lines share can be split over tasks.
     constants = written(constants, "constants")
     fixed = tokens.join(constants, ["leaf", "place", "token"]).withColumn("bits", F.xxhash64("place", "token"))
     at = lambda k: F.when(F.col("level") > k, F.col("bits"))
-    named = fixed.groupBy("id", "mark", "line", "leaf", "n").agg(*[f for k in range(len(SHARES)) for f in (F.bit_xor(at(k)).alias(f"template{k}"), F.count(at(k)).alias(f"fixed{k}"))])
+    named = fixed.groupBy("leaf", "same", "n", "groups").agg(*[f for k in range(len(SHARES)) for f in (F.bit_xor(at(k)).alias(f"template{k}"), F.count(at(k)).alias(f"fixed{k}"))])
     templates = F.array(*[F.when(F.col(f"fixed{k}") >= CONSTANT * F.col("n"), F.col(f"template{k}")) for k in range(len(SHARES))])
-    named = named.select("id", "mark", "line", "leaf", F.explode(F.array_distinct(F.array_compact(templates))).alias("template"))
-    named = written(named, "named")
-    # Only texts of templates that may recur are looked up: one row for each text and template, however many its copies.
-    each = written(named.select("leaf", "template", "mark").distinct(), "held")
-    held = each.join(each.groupBy("leaf", "template").count().where(F.col("count") >= least).select("leaf", "template"), ["leaf", "template"])
-    held = held.join(written(_groups(rows), "groups"), "mark", "left").select("leaf", "template", F.coalesce("group", "mark").alias("group"))
-    recurring = written(held.distinct().groupBy("leaf", "template").count().where(F.col("count") >= least).select("leaf", "template"), "templates")
-    return named.join(recurring, ["leaf", "template"]).select("id", "mark", "line", "template")
+    named = written(named.select("leaf", "same", "n", "groups", F.explode(F.array_distinct(F.array_compact(templates))).alias("template")), "named")
+    # A group that holds several kinds of a template counts once.
+    may = named.groupBy("leaf", "template").agg(F.sum("groups").alias("groups"), F.max("n").alias("n")).where(F.col("groups") >= _needed(least)).select("leaf", "template")
+    each = held.join(named.join(may, ["leaf", "template"], "left_semi").select("leaf", "same", "n", "template"), ["leaf", "same"]).select("leaf", "template", "n", "group").distinct()
+    recurring = each.groupBy("leaf", "template").agg(F.count("group").alias("groups"), F.max("n").alias("n")).where(F.col("groups") >= _needed(least)).select("leaf", "template")
+    found = written(named.join(recurring, ["leaf", "template"]).groupBy("leaf", "same").agg(F.min("template").alias("template")), "recurring")
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.select("id", "mark", "line", "leaf", "same", F.pmod(F.xxhash64("id", "line"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(found, ["leaf", "same", "salt"]).select("id", "mark", "line", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with recurring lines taken out of the text; all its columns stay, and ``n_lines``, ``n_dropped`` are added (replaced where they exist).
 
-    Lines end at line feeds. Lines of fewer than ``TOKENS`` tokens are never dropped. A text that loses no line stays as it is,
-    one that loses all becomes empty; null texts stay null and have no lines, an empty text has one. Rows with equal key and
-    text are treated alike, each as one document; null keys are allowed. An empty table gives an empty one.
+    Lines end at line feeds. Lines of fewer than ``TOKENS`` tokens are never dropped; ``needed`` says in how many copy groups a longer
+    line's template must stand. A text that loses no line stays as it is, one that loses all becomes empty; null texts stay null and
+    have no lines, an empty text has one. Rows with equal key and text are treated alike, each as one document; null keys are
+    allowed. An empty table gives an empty one.
     """
     found = recurring_lines(docs, least, text, key)
     drops = written(found.groupBy("id", "mark").agg(F.sort_array(F.collect_set("line")).alias("lines")), "drops")
     names = docs.columns
-    marked = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
     joined = marked.join(drops.select(F.col("id").alias("id_d"), F.col("mark").alias("mark_d"), "lines"), F.col("id").eqNullSafe(F.col("id_d")) & (F.col("mark") == F.col("mark_d")), "left")
     parts = F.split(F.col(f"row.`{text}`"), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("lines", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "\n")
+    # what is left by number, then looked up: both take a step a line. The array of one keeps the parts from being split anew each time
+    left = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("lines"))
+    kept = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(left(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
     out = joined.select("row", F.when(F.col("lines").isNotNull(), kept).otherwise(F.col(f"row.`{text}`")).alias("new"), F.when(F.col(f"row.`{text}`").isNotNull(), F.size(parts)).otherwise(0).alias("n_lines"), F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).alias("n_dropped"))
     rest = [c for c in names if c not in ("n_lines", "n_dropped")]
     return out.select(*[(F.col("new") if c == text else F.col(f"row.`{c}`")).alias(c) for c in rest], "n_lines", "n_dropped")

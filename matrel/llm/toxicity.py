@@ -82,22 +82,25 @@ def evidence(best: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, stop, score), in order: one scan, linear in the words.
 
-    Only positive words can begin or end a segment; between them the running total does.
+    Only positive words can begin or end a segment; between them the running total does. Each held segment knows the last one
+    before it with a smaller total at its left, so the search for that one follows these links and passes each segment once.
     """
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    held: list[tuple[int, int, float, float]] = []  # start, stop, total before, total after
+    held: list[tuple[int, int, float, float, int]] = []  # start, stop, total before, total after, the link
     for k in np.flatnonzero(scores > 0).tolist():
         start, stop, low, high = k, k + 1, total[k], total[k + 1]
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= low:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= high:
-                held.append((start, stop, low, high))
+                held.append((start, stop, low, high, j))
                 break
-            start, low = held[j][0], held[j][2]
+            # it and all after it become one with this segment
+            start, _, low, _, link = held[j]
             del held[j:]
-    return [(a, b, high - low) for a, b, low, high in held]
+            j = link
+    return [(a, b, high - low) for a, b, low, high, _ in held]
 
 
 def _scored(model: Toxicity, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]], _words.Words]:
