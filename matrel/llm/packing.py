@@ -2,8 +2,8 @@
 
 The lengths to pack are 1..capacity, so the whole problem is a histogram of at
 most ``capacity`` numbers, whatever the corpus. Bin completion solves it on the
-driver: around the largest length left, undominated fillings are enumerated, pruned by
-how much they must waste, and the best-fit filling stands as the incumbent. A filling is
+driver: a best-fit packing is the incumbent, and while a waste bound leaves hope for a bin less, undominated
+fillings around the largest length left are enumerated and branched over. A filling of the incumbent is
 repeated while the counts allow, so the plan is a short list of (filling, times), and
 each piece finds its place by its rank among the pieces of its length.
 """
@@ -25,6 +25,8 @@ from matrel.llm._io import table, written
 
 CAPACITY = 1024
 EOS = 2
+#: Nodes of the search for one filling of the incumbent, steps of the search over bins, and bins it packs anew at once.
+NODES, STEPS, WINDOW = 2000, 200_000, 48
 
 
 def piece_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -35,7 +37,7 @@ def piece_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
     return [rest] * (rest > 0) + [capacity] * (total // capacity)
 
 
-def best_filling(room: int, sizes: list[int], counts: dict[int, int], budget: int = 2000) -> list[int]:
+def best_filling(room: int, sizes: list[int], counts: dict[int, int], budget: int = NODES) -> list[int]:
     """The undominated filling of ``room`` that wastes least.
 
     ``sizes``: ascending lengths with something left. Depth first from the largest
@@ -90,16 +92,109 @@ def best_filling(room: int, sizes: list[int], counts: dict[int, int], budget: in
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Fillings and how often each is used, so that all lengths of ``histogram`` are placed.
+def least_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A number of bins that no packing goes below: the waste bound.
 
-    The number of bins is at least ``ceil(sum / capacity)`` and at least that of
-    the lengths over half the capacity. Bins around the largest length left are filled by
-    ``best_filling``; each filling is repeated while every length in it lasts.
+    For each threshold, lengths over ``capacity - threshold`` are alone, others over half share no bin, and what of the
+    lengths from the threshold to the half exceeds the room beside these needs bins of its own.
     """
+    n = np.zeros(capacity + 1, np.int64)
+    for s, k in histogram.items():
+        n[s] += k
+    size = np.arange(capacity + 1)
+    many, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * size)])  # of lengths below
+    half = capacity // 2
+    best = 0
+    for a in range(half + 1):
+        large = int(many[-1] - many[half + 1])
+        beside = int((many[capacity - a + 1] - many[half + 1]) * capacity - (total[capacity - a + 1] - total[half + 1]))
+        small = int(total[half + 1] - total[a])
+        best = max(best, large + max(0, -(-(small - beside) // capacity)))
+    return best
+
+
+class _Completion:
+    """Bin completion as a depth-first search over bins: is there a packing into a given number of bins?
+
+    The largest length left opens a bin; its undominated fillings are tried one after the other, those of largest
+    lengths first. A filling whose waste, with that of the bins before, exceeds what the given number of bins can waste
+    is cut. ``steps`` bounds the search; ``ended`` says whether it came to its end, so that no packing is a proof.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int, steps: int):
+        self.counts = {s: n for s, n in sorted(histogram.items()) if n > 0}
+        self.capacity, self.steps, self.ended = capacity, steps, True
+        self.total = sum(s * n for s, n in self.counts.items())
+
+    def into(self, bins: int) -> list[list[int]] | None:
+        self.spare = bins * self.capacity - self.total
+        self.found: list[list[int]] = []
+        return self.found if self.spare >= 0 and self._go(self.spare) else None
+
+    def _go(self, spare: int) -> bool:
+        top = max((s for s, n in self.counts.items() if n), default=0)
+        if not top:
+            return True
+        self.counts[top] -= 1
+        for filling in self._fillings(self.capacity - top, spare):
+            if self.steps <= 0:
+                break
+            for s in filling:
+                self.counts[s] -= 1
+            self.found.append([top, *filling])
+            if self._go(spare - (self.capacity - top - sum(filling))):
+                return True
+            self.found.pop()
+            for s in filling:
+                self.counts[s] += 1
+        self.counts[top] += 1
+        return False
+
+    def _fillings(self, room: int, spare: int) -> Iterator[list[int]]:
+        """The undominated fillings of ``room`` that waste at most ``spare``."""
+        sizes = [s for s, n in self.counts.items() if n and s <= room]
+        sums = np.concatenate([[0], np.cumsum([s * self.counts[s] for s in sizes])]).tolist()
+        chosen: list[int] = []
+
+        def go(left: int, k: int) -> Iterator[list[int]]:
+            self.steps -= 1
+            if self.steps <= 0:
+                self.ended = False
+                return
+            if left - sums[k] > spare:
+                return
+            if k == 0:
+                if not self._dominated(chosen, left, sizes):
+                    yield list(chosen)
+                return
+            s = sizes[k - 1]
+            most = min(self.counts[s], left // s)
+            for n in range(most, -1, -1):
+                chosen.extend([s] * n)
+                yield from go(left - n * s, k - 1)
+                del chosen[len(chosen) - n :]
+
+        yield from go(room, len(sizes))
+
+    def _dominated(self, chosen: list[int], left: int, sizes: list[int]) -> bool:
+        """Whether a length that is left over could be added, or take the place of one or two of the filling and waste no more."""
+        free = [s for s in sizes if self.counts[s] > chosen.count(s)]
+        if not free:
+            return False
+        if free[0] <= left:
+            return True
+        own = sorted(set(chosen))
+        two = {a + b for i, a in enumerate(own) for b in own[i if chosen.count(a) > 1 else i + 1 :]}
+        for x, least in [*((s, s + 1) for s in own), *((s, s) for s in two)]:
+            at = bisect_right(free, x + left)
+            if at and free[at - 1] >= least:
+                return True
+        return False
+
+
+def _greedy(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The incumbent: around the largest length left the filling that wastes least, repeated while every length in it lasts."""
     counts = {s: n for s, n in sorted(histogram.items()) if n > 0}
-    if any(not 0 < s <= capacity for s in counts):
-        raise ValueError(f"lengths must be 1..{capacity}")
     sizes = list(counts)
     out: list[tuple[list[int], int]] = []
     while sizes:
@@ -119,6 +214,41 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
     return out
 
 
+def _lengths(fillings: list[list[int]]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for filling in fillings:
+        for s in filling:
+            out[s] = out.get(s, 0) + 1
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, window: int = WINDOW) -> list[tuple[list[int], int]]:
+    """Fillings and how often each is used, so that all lengths of ``histogram`` are placed.
+
+    ``_greedy`` gives the incumbent. While it has more bins than ``least_bins``, branch and bound looks for one bin fewer: over all bins
+    where there are at most ``window``, else over the ``window`` bins that waste most, which are packed anew among themselves. Packing
+    is NP-hard, so a search ends after ``steps`` steps; it is exact where it ends before. All lengths are placed in any case.
+    """
+    if any(not 0 < s <= capacity for s, n in histogram.items() if n > 0):
+        raise ValueError(f"lengths must be 1..{capacity}")
+    out = _greedy(histogram, capacity)
+    bins, least = sum(n for _, n in out), least_bins({s: n for s, n in histogram.items() if n > 0}, capacity)
+    while bins > least:
+        out.sort(key=lambda x: sum(x[0]))  # stable: the most wasteful first
+        taken: list[list[int]] = []
+        rest: list[tuple[list[int], int]] = []
+        for filling, n in out:
+            k = min(n, window - len(taken))
+            taken += [filling] * k
+            if n > k:
+                rest.append((filling, n - k))
+        better = _Completion(_lengths(taken), capacity, steps).into(len(taken) - 1)
+        if better is None:
+            break
+        out, bins = [*rest, *((x, 1) for x in better)], bins - 1
+    return out
+
+
 class Layout:
     """Where the r-th piece of a length goes: (sequence, offset)."""
 
@@ -147,9 +277,9 @@ class Layout:
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, eos: int = EOS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows ``key, piece, start, length, ids_crc32, part``: each document's ids, ended by ``eos``, cut into pieces.
+    """Rows ``key, piece, start, length, ids_crc32``: each document's ids, ended by ``eos``, cut into pieces.
 
-    ``part`` is the task's number of the row, which only spreads the ranks.
+    A null or empty text is the one id ``eos``; null keys and repeated rows stay; an empty table gives an empty one; further columns are ignored.
     """
     path = path or _chunks.default_path()
     end = int(eos).to_bytes(4, "little")
