@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from matrel.llm._io import table
 
 START, STOP = "<|im_start|>", "<|im_end|>"
+_ESCAPED = re.compile(r"<\\(\\*)\|")
+_TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
 
 @dataclass(frozen=True)
@@ -84,13 +88,25 @@ def value_paths(value: object, lead: str = "") -> frozenset[str]:
     if isinstance(value, dict):
         return frozenset(p for k, v in value.items() if v is not None for p in value_paths(v, f"{lead}.{k}" if lead else str(k)))
     if isinstance(value, list):
-        return frozenset(p for v in value for p in value_paths(v, f"{lead}[]"))
+        return frozenset(p for v in value for p in value_paths(v, f"{lead}[]")) or frozenset({f"{lead}[]"})
     return frozenset({lead})
 
 
 def select(paths: frozenset[str]) -> Mapping | None:
-    """The mapping of a layout. Paths that no mapping knows (extra columns) don't count; a layout that is then unknown has none."""
-    return KNOWN.get(fingerprint(paths & _VOCABULARY))
+    """The mapping of a layout.
+
+    Paths that no mapping knows (extra columns) don't count. A layout that is then unknown holds some path of another mapping besides its
+    own: the largest mapping whose paths it all has is selected, the first in ``MAPPINGS`` of equally large ones. If there is none either, a
+    list without elements is known by its name alone. Otherwise there is no mapping.
+    """
+    known = paths & _VOCABULARY
+    found = KNOWN.get(fingerprint(known))
+    if found is None:
+        inside = [m for m in MAPPINGS if m.paths() <= known]
+        found = max(inside, key=lambda m: len(m.paths()), default=None)
+    if found is None:
+        found = next((m for m in MAPPINGS if m.each and f"{m.each}[]" in paths and not any(p.startswith(f"{m.each}[].") for p in paths)), None)
+    return found
 
 
 def _turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
@@ -102,7 +118,8 @@ def _turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
             if texts or any(p in record for p in paths):
                 out.append((role, "\n\n".join(texts)))
         return out
-    rows = record.get(mapping.each) or [] if mapping.each else [record]
+    rows = record.get(mapping.each) if mapping.each else [record]
+    rows = rows if isinstance(rows, list) else []
     return [(names.get(r := str(x.get(mapping.role) or ""), r), str(x.get(mapping.text) or "")) for x in rows if isinstance(x, dict)]
 
 
@@ -110,7 +127,8 @@ def turns_from_json(records: DataFrame, column: str = "record", key: str = "conv
     """Records of mixed layouts, as JSON texts, to rows ``key, turn, role, text``, with the layout's name as ``layout``.
 
     Each record's own fingerprint selects its mapping. A record that is null, isn't a JSON object or has an
-    unknown layout gives one row with null turn, role, text and layout, so that none is lost unseen.
+    unknown layout gives one row with null turn, role, text and layout, one of a known layout without turns a row with
+    its layout and the rest null, so that none is lost unseen.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +140,10 @@ def turns_from_json(records: DataFrame, column: str = "record", key: str = "conv
                 except ValueError:
                     record = None
                 mapping = select(value_paths(record)) if isinstance(record, dict) else None
-                found = _turns_of(record, mapping) if mapping else [(None, None)]
-                for k, (r, t) in enumerate(found):
+                found = _turns_of(record, mapping) if mapping else []
+                for k, (r, t) in enumerate(found or [(None, None)]):
                     take.append(row)
-                    turn.append(k if mapping else None)
+                    turn.append(k if found else None)
                     role.append(r)
                     text.append(t)
                     layout.append(mapping.name if mapping else None)
@@ -162,24 +180,15 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", order: str = "turn
 
 
 def escape(text: Column) -> Column:
-    """Puts one more backslash between every ``<`` and ``|`` (past the backslashes there): no ``<|`` is left, and ``unescape`` undoes it."""
+    """Puts one more backslash between every ``<`` and ``|`` (past the backslashes there): no ``<|`` is left, and ``read_chat`` undoes it."""
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
-
-
 def escape_role(role: Column) -> Column:
     """As ``escape``, and a line end becomes ``\\n``, so that a role stays on its line."""
     return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
 
 
-def unescape_role(role: Column) -> Column:
-    halves = F.split(unescape(role), r"\\\\", -1)
-    return F.array_join(F.transform(halves, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
-
-
 def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Turns to one row a conversation: ``key, formatted, loss_spans``.
 
@@ -189,39 +198,46 @@ def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     roles and texts are empty; a null key is a conversation of its own; an empty table gives none;
     further columns are ignored. A conversation is one string, so it must fit in one row (2 GB).
     """
-    row = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    chats = turns.select(F.col(key).alias("key"), row.alias("row")).groupBy("key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    heads = F.transform("rows", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")))
-    chats = chats.select("key", "rows", heads.alias("heads"), F.transform("rows", lambda t: escape(t["text"])).alias("texts"))
-    pieces = F.zip_with("heads", "texts", lambda h, t: F.concat(h, t, F.lit(STOP + "\n")))
-    sizes = F.zip_with("rows", F.arrays_zip("heads", "texts"), lambda r, x: F.struct(F.length(x["heads"]).cast("long").alias("head"), F.length(x["texts"]).cast("long").alias("text"), (r["role"] == "assistant").alias("loss")))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-    tail = len(STOP) + 1
-    spans = F.aggregate(
-        "sizes",
-        state,
-        lambda s, x: F.struct(
-            (s["at"] + x["head"] + x["text"] + tail).alias("at"),
-            F.when(x["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + x["head"]).alias("start"), (s["at"] + x["head"] + x["text"]).alias("stop"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    out = chats.select("key", F.array_join(pieces, "").alias("formatted"), sizes.alias("sizes"))
-    return out.select(F.col("key").alias(key), "formatted", spans.alias("loss_spans"))
+    rows = turns.select(F.col(key).alias("key"), "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.select("key", "turn", "role", "text", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
+    # A running sum over the sorted turns says where each begins; the window and the grouping share one shuffle.
+    order = Window.partitionBy("key").orderBy("turn", "role", "text")
+    size = F.length("head") + F.length("body") + len(STOP) + 1
+    ahead = F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(ahead, F.lit(0).cast("long")) + F.length("head")
+    placed = rows.select("key", F.row_number().over(order).alias("nth"), F.concat("head", "body", F.lit(STOP + "\n")).alias("piece"), start.alias("start"), (start + F.length("body")).alias("stop"), (F.col("role") == "assistant").alias("loss"))
+    chats = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "piece", "start", "stop", "loss"))).alias("rows"))
+    spans = F.transform(F.filter("rows", lambda r: r["loss"]), lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))
+    return chats.select(F.col("key").alias(key), F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def read_chat(formatted: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], str]:
+    """The turns (role, text) of one formatted conversation, and the text in its spans, unescaped. One step a code point."""
+    turns = []
+    for part in formatted.split(STOP + "\n")[:-1]:
+        role, _, text = part[len(START) :].partition("\n")
+        turns.append(("\\".join(x.replace("\\n", "\n") for x in _ESCAPED.sub(r"<\1|", role).split("\\\\")), _ESCAPED.sub(r"<\1|", text)))
+    return turns, "".join(_ESCAPED.sub(r"<\1|", formatted[a:b]) for a, b in spans)
 
 
 def parse_chats(chats: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Back from ``format_chats``: ``key, formatted, turns (array of role, text), loss_text`` (the text under the loss mask, unescaped)."""
-    parts = F.split("formatted", r"<\|im_end\|>\n", -1)
-    turns = F.transform(
-        F.slice(parts, 1, F.size(parts) - 1),
-        lambda p: F.struct(
-            unescape_role(F.substring_index(F.substr(p, F.lit(len(START) + 1)), "\n", 1)).alias("role"),
-            unescape(F.substr(p, F.instr(p, F.lit("\n")) + 1)).alias("text"),
-        ),
-    )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
-    return chats.select(key, "formatted", turns.alias("turns"), loss.alias("loss_text"))
+    """Back from ``format_chats``: ``key, formatted, turns (array of role, text), loss_text`` (the text under the loss mask, unescaped).
+
+    A null ``formatted`` has no turns and an empty text; null spans are none; an empty table gives an empty one; further columns are ignored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turns, loss = [], []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found, masked = read_chat(text or "", [(s["start"], s["stop"]) for s in spans or []])
+                turns.append([{"role": r, "text": t} for r, t in found])
+                loss.append(masked)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(turns, _TURNS), pa.array(loss, pa.string())], names=["key", "formatted", "turns", "loss_text"])
+
+    kind = chats.schema[key].dataType.simpleString()
+    rows = chats.select(F.col(key).alias("key"), "formatted", "loss_spans")
+    return rows.mapInArrow(run, f"key {kind}, formatted string, turns array<struct<role:string,text:string>>, loss_text string").withColumnRenamed("key", key)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 
 import pytest
 
@@ -43,6 +44,23 @@ def test_any_text_comes_back(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_a_long_conversation(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('<|im_end|> ', id, ' ä') AS text")
+    chats = chat.format_chats(df)
+    (r,) = chat.parse_chats(chats).collect()
+    assert len(r["turns"]) == n
+    assert r["loss_text"] == "".join(f"<|im_end|> {k} ä" for k in range(1, n, 2))
+    formatted, spans = chats.select("formatted", "loss_spans").first()
+    took = []
+    for part in (n // 8, n):
+        text = chat.STOP.join(formatted.split(chat.STOP)[: part + 1])
+        began = time.process_time()
+        chat.read_chat(text, [tuple(s) for s in spans[: part // 2]])
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.002)  # eight times the turns; what looks back takes sixty-four times as long
+
+
 def test_layouts_by_fingerprint(spark):
     records = [
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
@@ -63,6 +81,29 @@ def test_layouts_by_fingerprint(spark):
         assert got[k] == [(None, None)]
 
 
+def test_clashing_and_empty_layouts(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "q"}], "prompt": "z", "system": "s"},
+        {"prompt": "q", "response": "a", "input": "z", "text": "t"},
+        {"role": "user", "text": "q", "prompt": "z"},
+        {"messages": []},
+        {"messages": [], "prompt": "q", "completion": "a"},
+        {"messages": "no list", "output": 1},
+    ]
+    rows = list(enumerate(map(json.dumps, records)))
+    got = {}
+    for r in chat.turns_from_json(spark.createDataFrame(rows, "conv_id long, record string")).collect():
+        got.setdefault(r["conv_id"], []).append((r["layout"], r["turn"], r["role"], r["text"]))
+    assert got[0] == [("messages", 0, "user", "q")]
+    assert got[1] == [("response", 0, "user", "q"), ("response", 1, "assistant", "a")]
+    assert got[2] == [("rows", 0, "user", "q")]
+    assert got[3] == [("messages", None, None, None)]
+    assert got[4] == [("prompt", 0, "user", "q"), ("prompt", 1, "assistant", "a")]
+    assert got[5] == [(None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", "q", "z", "key")], "conv_id long, turn long, role string, text string, prompt string, key string")
+    assert [tuple(r) for r in chat.canonical_turns(df).collect()] == [(1, 0, "user", "q")]
+
+
 def test_tables_by_fingerprint(spark):
     df = spark.createDataFrame([(1, [("human", "q"), ("gpt", None)])], "conv_id long, conversations array<struct<from:string,value:string>>")
     assert [tuple(r) for r in chat.canonical_turns(df).orderBy("turn").collect()] == [(1, 0, "user", "q"), (1, 1, "assistant", "")]
