@@ -14,10 +14,12 @@ import re
 
 import numpy as np
 import public_tokenizers
+import regex
 
 #: Known parts a worker keeps; further ones are encoded each time they come. Results never change.
 KEPT = 400_000
 SPECIAL = "<|endoftext|>"
+_PRE_TOKENS = regex.compile(public_tokenizers.PATTERN)
 _OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 
 
@@ -37,11 +39,38 @@ def library(path: str):
     return made
 
 
+@functools.lru_cache(maxsize=4)
+def proven(path: str) -> dict[str, int]:
+    """The whole-token table: each vocabulary string that, encoded alone, is its own single token.
+
+    Found by letting the library encode every vocabulary string that is valid text: one passes only if the result
+    is exactly its own id, which proves that it is one pre-token and that the
+    merges reach it. Depends on the vocabulary only, so its size is bounded by it.
+    """
+    return _proven(path)[0]
+
+
+@functools.lru_cache(maxsize=4)
+def _proven(path: str) -> tuple[dict[str, int], bool]:
+    """The table, and whether no string of the vocabulary failed."""
+    from tokenizers.decoders import ByteLevel
+
+    made, decoder = library(path), ByteLevel()
+    tried = [(text, i) for token, i in sorted(made.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1]) if "\ufffd" not in (text := decoder.decode([token]))]
+    found = made.encode_batch([text for text, _ in tried], add_special_tokens=False)
+    out = {text: i for (text, i), got in zip(tried, found, strict=True) if got.ids == [i]}
+    return out, len(out) == len(tried)
+
+
 @functools.lru_cache(maxsize=4)
 def ranks(path: str):
-    """tiktoken over the same vocabulary (the .tiktoken file beside the .json), or None where there is none."""
+    """tiktoken over the same vocabulary (the .tiktoken file beside the .json), or None where there is none.
+
+    It takes a pre-token that is a vocabulary string for that token without playing the merges, so it stands in for the library only if
+    the whole vocabulary is proven.
+    """
     beside = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(beside):
+    if not os.path.exists(beside) or not _proven(path)[1]:
         return None
     import tiktoken
 
@@ -107,7 +136,14 @@ class Encoder:
     def _counts(self) -> _Map:
         """Counts of parts; those of the proven tokens stand from the start."""
         seed = dict.fromkeys((s[1:] for s in proven(self.path) if s.startswith(" ")), 1)
-        return _Map(lambda part: len(encode_part(self.path, " " + part)), seed)
+        return _Map(lambda part: self._count(" " + part), seed)
+
+    def _count(self, part: str) -> int:
+        """Tokens of a part: its pre-tokens that are proven count one each, only the others are merged."""
+        if not plain(part):
+            return len(encode_part(self.path, part))
+        table = proven(self.path)
+        return sum(1 if x in table else len(encode_part(self.path, x)) for x in _PRE_TOKENS.findall(part))
 
     def ids(self, text: str) -> bytes:
         fast = ranks(self.path)
@@ -119,7 +155,7 @@ class Encoder:
         if SPECIAL in text:
             return len(library(self.path).encode(text, add_special_tokens=False).ids)
         found = parts(text)
-        first = len(encode_part(self.path, found[0])) if found[0] else 0
+        first = self._count(found[0]) if found[0] else 0
         return first + sum(map(self._counts.__getitem__, found[1:]))
 
 
@@ -127,25 +163,3 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One for each worker process: later tasks find the parts that earlier ones met."""
     return Encoder(path)
-
-
-@functools.lru_cache(maxsize=4)
-def proven(path: str) -> dict[str, int]:
-    """The whole-token table: each vocabulary string that, encoded alone, is its own single token.
-
-    Found by encoding every vocabulary string: a string passes only if the result
-    is exactly its own id, which proves that it is one pre-token and that the
-    merges reach it. Depends on the vocabulary only, so its size is bounded by it.
-    """
-    made = library(path)
-    out = {}
-    vocabulary = made.get_vocab(with_added_tokens=False)
-    back = {v: k for k, v in vocabulary.items()}
-    from tokenizers.decoders import ByteLevel
-
-    decoder = ByteLevel()
-    for i in sorted(back):
-        text = decoder.decode([back[i]])
-        if "�" not in text and encode_part(path, text) == [i]:
-            out[text] = i
-    return out

@@ -1,9 +1,9 @@
 """Token counts by the whole-token shortcut.
 
 Offline, every vocabulary string is encoded alone; those that come back as
-their own single token are proven. A part of a text that is in that table counts
-one without any merging; only the other parts are merged, once each while the
-worker remembers them.
+their own single token are proven. A text falls into pre-tokens; one that is in that table counts
+one without any merging, only the others are merged. What a part between spaces counts
+is remembered while the worker lives, within a bound.
 """
 
 from __future__ import annotations

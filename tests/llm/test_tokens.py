@@ -1,6 +1,7 @@
 """Token counts, BPE and packing against the tokenizers library and by their invariants."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -83,6 +84,27 @@ def test_backtracking_equals_the_merges():
         assert coder.core.encode_word(symbols) == [coder.core.ids[t] for t in coder.core.merge(symbols + coder.core.MARK)]
 
 
+def test_proven_tokens_are_their_own_ids():
+    path = _chunks.default_path()
+    own, table = library(path), _chunks.proven(path)
+    assert len(table) > 40_000
+    for text, i in list(table.items())[::97]:
+        assert own.encode(text, add_special_tokens=False).ids == [i]
+
+
+def test_a_vocabulary_that_merges_dont_reach(tmp_path):
+    with open(_chunks.default_path()) as f:
+        made = json.load(f)
+    size = len(made["model"]["vocab"])
+    made["model"]["vocab"] |= {"qzxqzx": size + 100, "\u0120qzxqzx": size + 101}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    (tmp_path / "other.tiktoken").write_text("")
+    assert "qzxqzx" not in _chunks.proven(str(path)) and _chunks.ranks(str(path)) is None
+    text = "qzxqzx and qzxqzx, it's qzxqzx"
+    assert _chunks.Encoder(str(path)).count(text) == len(library(str(path)).encode(text, add_special_tokens=False).ids)
+
+
 def test_pieces():
     assert packing.piece_lengths(1024) == [1024]
     assert packing.piece_lengths(1025) == [1, 1024]
@@ -142,12 +164,24 @@ def brute_bins(items, room):
     return best
 
 
-def test_plan_is_near_the_least():
+def test_plan_is_the_least():
     rnd = random.Random(3)
-    for _ in range(60):
-        items = sorted((rnd.randint(1, 20) for _ in range(8)), reverse=True)
+    for k in range(300):
+        low, high = [(1, 100), (20, 60), (25, 45)][k % 3]
+        items = sorted((rnd.randint(low, high) for _ in range(10)), reverse=True)
         h = {s: items.count(s) for s in items}
-        fillings = packing.plan(h, 20)
+        fillings = packing.plan(h, 100)
         assert {s: sum(f.count(s) * n for f, n in fillings) for s in h} == h
-        assert all(sum(f) <= 20 for f, _ in fillings)
-        assert sum(n for _, n in fillings) <= brute_bins(items, 20) + 1
+        assert all(sum(f) <= 100 for f, _ in fillings)
+        least = brute_bins(items, 100)
+        assert sum(n for _, n in fillings) == least >= packing.least_bins(h, 100)
+
+
+def test_plan_of_many():
+    rnd = random.Random(4)
+    items = [min(1024, int(rnd.lognormvariate(4, 1.2)) + 1) for _ in range(20_000)]
+    h = {s: items.count(s) for s in set(items)}
+    fillings = packing.plan(h)
+    assert {s: sum(f.count(s) * n for f, n in fillings) for s in h} == h
+    assert sum(n for _, n in fillings) <= packing.least_bins(h) + 1
+    assert packing.plan({}) == [] and packing.plan({7: 0}) == []
