@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 
 from matrel.llm import embeddings, fingerprints, minhash
 from matrel.llm.components import components
@@ -149,6 +150,22 @@ def likeness(a, b):
     return 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 128
 
 
+def simhash(text):
+    """The definition: weighted hashes of adjacent words vote on 128 bits."""
+    words = re.split("[\x20\x09-\x0d]+", text)
+    terms = list(zip(words[:-1], words[1:], strict=True)) if len(words) > 1 else [(words[0], "")]
+    votes, total = np.zeros(128, np.int64), 0
+    for a, b in terms:
+        a, b = a.encode(), b.encode()
+        weight = min(4, 1 + (len(a) + len(b)) // 6)
+        h0 = xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42))
+        h1 = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h0)
+        votes += weight * np.array([h >> k & 1 for h in (h0, h1) for k in range(64)])
+        total += weight
+    f0, f1 = (sum(1 << k for k in range(64) if 2 * votes[64 * h + k] > total) for h in (0, 1))
+    return f"{f0:016x}{f1:016x}"
+
+
 def check_edits(rows, got):
     rows = sorted(rows)
     prints = {}
@@ -160,6 +177,8 @@ def check_edits(rows, got):
         q = len(t) // 4
         edited = t[: len(t) - q] + (nt or "")[:q]
         r = got[d]
+        if k % 7 == 0 and len(t) < 20_000:
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (simhash(t), simhash(edited))
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         if edited in prints:
             assert r["edited_fingerprint"] == prints[edited]
@@ -171,6 +190,9 @@ def test_fingerprints_of_all_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = {r["doc_id"]: r for r in fingerprints.op1_document_fingerprints(spark, SMALL).collect()}
     check_edits(rows, got)
+    whole = {d: int(r["fingerprint"], 16) for d, r in got.items()}
+    asked = {f for d, f in whole.items() if d % 50 == 0}
+    assert all(got[d]["n_found"] == sum(1 <= (f ^ q).bit_count() <= 3 for q in asked) for d, f in whole.items())
     near = np.mean([r["near_edited"] for r in got.values()])
     other = np.mean([r["near_next"] for r in got.values()])
     assert near > 0.7 > 0.58 > other
@@ -202,3 +224,19 @@ def test_radius_search(spark):
     want = {(a, b, bin(a ^ b).count("1")) for a in prints for b in prints if a != b and bin(a ^ b).count("1") <= 3}
     got = [(int(r[0], 16), int(r[1], 16), r[2]) for r in fingerprints.within_radius(df, df, 3).collect()]
     assert set(got) == want and len(got) == len(want)
+    assert fingerprints.within_radius(df.limit(0), df, 3).count() == fingerprints.within_radius(df, df.limit(0), 3).count() == 0
+
+
+def test_counts_in_the_radius(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "QUERIES", 3)  # so that a block's queries stand in several lists
+    rnd = random.Random(10)
+    base = rnd.getrandbits(128)
+    prints = [base ^ sum(1 << b for b in rnd.sample(range(128), rnd.randint(0, 4))) for _ in range(150)] + [0, (1 << 128) - 1, 1 << 127, 1 << 63]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1), "x") for x in prints] + [(None, 1, "x")], "f0 long, f1 long, n string")
+    for radius in (1, 3):
+        got = {(r["f0"] % (1 << 64)) << 64 | r["f1"] % (1 << 64): r["n"] for r in fingerprints.count_within(df.limit(60), df, radius).collect()}
+        asked = set(prints[:60])
+        want = {x: sum(1 <= (x ^ q).bit_count() <= radius for q in asked) for x in prints}
+        assert got == {x: n for x, n in want.items() if n}
+    assert fingerprints.count_within(df.limit(0), df, 3).count() == 0
