@@ -13,12 +13,13 @@ group of near copies gives rows in proportion to its blocks.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,13 @@ from matrel.llm.components import components
 
 #: Vectors the axes are fitted on (those with the least hashes); bounds what the driver reads.
 SAMPLE = 4000
-AXES = 4
-BLOCK = 512
-LEAF = 64
+#: Axes whose projections make the boxes. Vectors in a block: blocks are moved in pairs, so larger ones move each vector less often; an
+#: interval that is multiplied whole.
+AXES = 8
+BLOCK = 2048
+LEAF = 256
+#: Axes whose cells are looked up to find the partners of a block.
+_LOOKED_UP = 2
 
 
 def _usable(docs: DataFrame, vector: str, label: str, key: str) -> DataFrame:
@@ -38,28 +43,37 @@ def _usable(docs: DataFrame, vector: str, label: str, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, dims, digests, raws = [], [], [], []
-            for k, v in enumerate(batch.column(2)):
-                if not v.is_valid or not len(v) or v.values.null_count:
-                    continue
-                x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-                if not np.isfinite(x).all() or not x.any():
-                    continue
-                raw = x.tobytes()
-                keep.append(k)
-                dims.append(len(x))
-                digests.append(hashlib.sha256(raw).digest())
-                raws.append(raw)
-            rows = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())], names=["id", "label", "dim", "digest", "raw"])
+            if batch.num_rows == 0:
+                continue
+            column = batch.column(2).cast(pa.large_list(pa.float64()))
+            off, flat = column.offsets.to_numpy(), column.values
+            value = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
+            upto = lambda mask: np.concatenate([[0], np.cumsum(mask)])[off]
+            size = np.diff(off)
+            usable = (size > 0) & (np.diff(upto(np.isfinite(value))) == size) & (np.diff(upto(value != 0)) > 0)
+            rows = np.flatnonzero(usable & column.is_valid().to_numpy(zero_copy_only=False))
+            # what the chosen rows hold, one behind the other
+            ends = np.concatenate([[0], np.cumsum(size[rows])])
+            held = value[np.repeat(off[rows] - ends[:-1], size[rows]) + np.arange(ends[-1])]
+            raw = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer((8 * ends).astype(np.int64)), pa.py_buffer(held)])
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(size[rows].astype(np.int32)), raw.cast(pa.binary())], names=["id", "label", "dim", "raw"])
 
     rows = docs.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(_words.tidy(run), f"id {kinds['id']}, label {kinds['label']}, dim int, digest binary, raw binary")
+    out = rows.mapInArrow(_words.tidy(run), f"id {kinds['id']}, label {kinds['label']}, dim int, raw binary")
+    return out.select("id", "label", "dim", F.unhex(F.sha2("raw", 256)).alias("digest"), "raw")
 
 
-def _units(raws: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), np.float64).reshape(len(raws), -1)
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column, one row behind the other."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]] if len(column) and column.buffers()[2] is not None else np.zeros(0, np.uint8)
+
+
+def _units(raws: list[bytes] | np.ndarray, n: int = 0) -> np.ndarray:
+    """Packed vectors (a list, or the bytes of ``n`` of them) as rows of length 1."""
+    x = np.frombuffer(b"".join(raws) if isinstance(raws, list) else raws.tobytes(), np.float64).reshape(n or len(raws), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -91,10 +105,9 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> Dat
         for batch in batches:
             cells = np.zeros((batch.num_rows, AXES), np.int32)
             dims = batch.column(2).to_numpy()
-            raws = batch.column(4).to_pylist()
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                cells[rows] = np.floor(_projected(_units([raws[k] for k in rows]), axes) / epsilon)
+                cells[rows] = np.floor(_projected(_units(_bytes(batch.column(4).take(pa.array(rows))), len(rows)), axes) / epsilon)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, k]) for k in range(AXES)]], names=[*batch.schema.names, *[f"c{k}" for k in range(AXES)]])
 
     schema = f"id {kinds['id']}, label {kinds['label']}, dim int, copies long, raw binary"
@@ -106,23 +119,34 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> Dat
     ordered = written(placed, "placed").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
 
         def block() -> pa.RecordBatch:
-            p = _projected(_units([r[4] for r in held]), axes)
-            c = np.array([r[5:7] for r in held])
-            values = [held[0][1], held[0][2], held[0][0], *(int(f(c[:, k])) for k in (0, 1) for f in (np.min, np.max)), p.min(axis=0).tolist(), p.max(axis=0).tolist(), [r[0] for r in held], [r[3] for r in held], b"".join(r[4] for r in held)]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
-
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids, raw = rows.column(0).chunk(0), rows.column(4).chunk(0)
+            p = _projected(_units(_bytes(raw), len(ids)), axes)
+            c = np.stack([rows.column(5 + k).to_numpy() for k in range(_LOOKED_UP)], 1)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            cells = [pa.array([int(f(c[:, k]))], pa.int32()) for k in range(_LOOKED_UP) for f in (np.min, np.max)]
+            edges = [pa.array([f(axis=0).tolist()], pa.list_(pa.float64())) for f in (p.min, p.max)]
+            columns = [rows.column(1).chunk(0)[:1], rows.column(2).chunk(0)[:1], ids[:1], *cells, *edges, listed(ids), listed(rows.column(3).chunk(0)), pa.array([_bytes(raw).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["label", "dim", "block", "c0_low", "c0_high", "c1_low", "c1_high", "low", "high", "ids", "copies", "raws"])
+
+        last, n = None, 0
         for batch in batches:
-            ids, labels = batch.schema.field(0).type, batch.schema.field(1).type
-            arrow = pa.schema([("label", labels), ("dim", pa.int32()), ("block", ids), *[(n, pa.int32()) for n in ("c0_low", "c0_high", "c1_low", "c1_high")], ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.list_(ids)), ("copies", pa.list_(pa.int64())), ("raws", pa.binary())])
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and (held[0][1:3] != row[1:3] or len(held) >= BLOCK):
-                    yield block()
-                    held = []
-                held.append(row)
-        if held:
+            labels, dims = batch.column(1), batch.column(2)
+            other = pc.or_(pc.not_equal(labels[1:], labels[:-1]), pc.not_equal(dims[1:], dims[:-1])) if batch.num_rows > 1 else pa.array([], pa.bool_())
+            edges = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for start, end in pairwise(edges):
+                own = (labels[start].as_py(), dims[start].as_py())
+                while start < end:
+                    if n and (own != last or n >= BLOCK):
+                        yield block()
+                        held, n = [], 0
+                    last, some = own, min(end - start, BLOCK - n)
+                    held.append(batch.slice(start, some))
+                    n, start = n + some, start + some
+        if n:
             yield block()
 
     return ordered.mapInArrow(_words.tidy(cut), f"label {kinds['label']}, dim int, block {kinds['id']}, c0_low int, c0_high int, c1_low int, c1_high int, low array<double>, high array<double>, ids array<{kinds['id']}>, copies array<long>, raws binary")
@@ -202,39 +226,34 @@ def near_vectors(docs: DataFrame, threshold: float = 0.93, vector: str = "embedd
     axes = principal_axes(usable)
     classes = written(usable.groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count("id").alias("copies")), "classes")
     reps = usable.join(classes, (usable["label"] == classes["label"]) & (usable["digest"] == classes["digest"]) & (usable["id"] == classes["rep"]), "inner").select(usable["id"], usable["label"], "dim", "copies", "raw").dropDuplicates(["label", "id", "raw"])
-    blocks = written(_blocks(reps, axes, epsilon), "blocks")
+    blocks = written(_blocks(reps, axes, epsilon), "blocks", heavy=True)
     pairs = written(_near_blocks(blocks, epsilon), "pairs")
     id_kind = usable.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py()
-                ids_a, ids_b = (batch.column(c)[k].as_py() for c in (1, 2))
-                copies = [np.array(batch.column(c)[k].as_py()) for c in (3, 4)]
-                a, b = (_units([raw]) if n == 1 else _units([raw[i : i + len(raw) // n] for i in range(0, len(raw), len(raw) // n)]) for raw, n in ((batch.column(5)[k].as_py(), len(ids_a)), (batch.column(6)[k].as_py(), len(ids_b))))
+                ids_a, ids_b, copies_a, copies_b = (batch.column(c)[k].values for c in (1, 2, 3, 4))
+                a, b = (_units(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8), len(ids)) for c, ids in ((5, ids_a), (6, ids_b)))
                 found = _Join(a, b, _projected(a, axes), _projected(b, axes), threshold, epsilon)
-                rows = np.concatenate(found.rows) if found.rows else np.zeros(0, int)
-                cols = np.concatenate(found.cols) if found.cols else np.zeros(0, int)
-                names = sorted({*ids_a, *ids_b})
-                at = {x: i for i, x in enumerate(names)}
-                x, y = np.array([at[i] for i in ids_a]), np.array([at[i] for i in ids_b])
+                rows, cols = (np.concatenate(x) if x else np.zeros(0, int) for x in (found.rows, found.cols))
+                names, at = np.unique(np.concatenate([ids_a.to_numpy(zero_copy_only=False), ids_b.to_numpy(zero_copy_only=False)]), return_inverse=True)
+                x, y = at[: len(ids_a)], at[len(ids_a) :]
                 other = x[rows] != y[cols]
                 rows, cols = rows[other], cols[other]
                 n = np.zeros(len(names), np.int64)
-                np.add.at(n, x[rows], copies[1][cols])
-                if not same:
-                    np.add.at(n, y[cols], copies[0][rows])
+                np.add.at(n, x[rows], copies_b.to_numpy()[cols])
+                if not batch.column(0)[k].as_py():
+                    np.add.at(n, y[cols], copies_a.to_numpy()[rows])
                 root = forest(len(names), x[rows], y[cols])
                 hit = np.flatnonzero(n)
-                kind = batch.column(1).type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], kind), pa.array(n[hit]), pa.array([names[root[i]] for i in hit], kind)], names=["id", "n", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[hit], ids_a.type), pa.array(n[hit]), pa.array(names[root[hit]], ids_a.type)], names=["id", "n", "root"])
 
     # A block with itself must see both orders of each pair, which the full product gives.
     side = lambda x: blocks.select("label", "dim", F.col("block").alias(f"block_{x}"), F.col("ids").alias(f"ids_{x}"), F.col("copies").alias(f"copies_{x}"), F.col("raws").alias(f"raws_{x}"))
     both = pairs.join(side("a"), ["label", "dim", "block_a"]).join(side("b"), ["label", "dim", "block_b"])
     both = both.select((F.col("block_a") == F.col("block_b")).alias("same"), "ids_a", "ids_b", "copies_a", "copies_b", "raws_a", "raws_b")
-    found = written(both.mapInArrow(_words.tidy(run), f"id {id_kind}, n long, root {id_kind}"), "found")
+    found = written(both.mapInArrow(_words.tidy(run), f"id {id_kind}, n long, root {id_kind}"), "found", heavy=True)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(usable.join(classes.where("copies > 1"), ["label", "digest"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     members = usable.select("id", "label", "digest").join(classes, ["label", "digest"]).select("id", "rep", "copies")
