@@ -34,6 +34,8 @@ MANTISSA = 10
 _LOW = 64 - (REGISTERS.bit_length() - 1)
 #: Members compared with each other in one block.
 BLOCK = 128
+#: Partners with which a text is verified in one row, about.
+PARTNERS = 32
 
 
 def registers(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -154,28 +156,26 @@ def _sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    kind = pairs.schema["a"].dataType.simpleString()
+    """The pairs ``a, b`` whose full sets reach the threshold: 100 * intersection >= percent * union.
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        coded = column.dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        own = _sets_of(coded.dictionary, words)
-        none = np.zeros(0, np.uint64)
-        return [own[k] if k is not None else none for k in coded.indices.to_pylist()]
+    A text ``a`` that stands in very many pairs is moved once for every ``PARTNERS`` of them, not once a pair.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _words.slices(whole, "text_b", 1 << 20):
-                keep = []
-                for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                    keep.append(_reach(x, y, percent))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                others = batch.column(2)[k].values
+                (own,) = _sets_of(batch.column(1).slice(k, 1), words)
+                keep = pa.array([_reach(own, x, percent) for x in _sets_of(others.field("text"), words)], pa.bool_())
+                found = others.field("b").filter(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(found), pa.int32())), found], names=["a", "b"])
 
-    side = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_words.tidy(run), f"a {kind}, b {kind}")
+    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("b") / PARTNERS).alias("parts")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    met = dealt.join(docs.select(F.col("id").alias("b"), text), "b").groupBy("a", "part").agg(F.collect_list(F.struct("b", "text")).alias("others"))
+    both = met.join(docs.select(F.col("id").alias("a"), text), "a").select("a", "text", "others")
+    return both.mapInArrow(_words.tidy(run), f"a {kind}, b {kind}")
 
 
 class _Members:
@@ -250,7 +250,7 @@ def _block_links(members: DataFrame, words: int, percent: int) -> DataFrame:
     sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("id") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / (1 << 20))).cast("int").alias("blocks"))
     dealt = members.join(written(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))).cast("int"))
     blocks = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component_id", "n_shingles", "regs", "text")).alias("rows"))
-    blocks = written(blocks, "blocks")
+    blocks = written(blocks, "blocks", heavy=True)
     left, right = (blocks.select("key", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
     met = left.join(right, "key").where("block_a <= block_b").select("key", (F.col("block_a") == F.col("block_b")).alias("same"), "rows_a", "rows_b")
 
@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     key reachable by links, ``kept`` whether that is the own key.
 
     Two sets at similarity s share a band with probability ``1 - (1 - s**4)**32`` (at 0.75: all but 5 in a
-    million); every pair that does is compared or already connected. Nulls and empty texts are linked with nothing.
+    million); every pair that does is compared or already connected. A pair at the threshold is lost as well where its registers' estimate
+    falls six standard errors below it; a hash of 128 bits stands for a set where sets are called equal. Nulls and empty texts are linked with nothing.
     A null key is linked with nothing either: its component is null and it is kept. Rows that share a key are one
     document, linked by any of its texts. An empty table gives an empty one; further columns are ignored.
     """
@@ -300,7 +301,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     # Only members of bands with company go on.
     company = written(met.join(firsts, "key"), "company")
     stars = company.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    linked = written(_verified(written(_likely(stars, reps, threshold), "likely"), own, words, percent), "verified")
+    likely = written(_likely(stars, reps, threshold), "likely")
+    linked = written(_verified(likely, own, words, percent), "verified", heavy=True)
     # The classes that one key's texts belong to are one document: linked through the least.
     member = written(whole.join(classes, ["h1", "h2", "n_shingles"]).select("id", "rep").distinct(), "members")
     least = written(member.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")), "least")
@@ -315,6 +317,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     if open_.head(1):
         further = _block_links(open_.join(reps, "id").join(own, "id"), words, percent)
         # what is connected already stands for the links that connected it
+        further = written(further, "further", heavy=True)
         found = written(components(further.unionByName(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "components")
     placed = least.select("id", F.col("least").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = made.select("id", "n_shingles").join(placed.select("id", F.coalesce("component_id", "rep").alias("component_id")), "id", "left")
