@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from matrel.llm import _words
 from matrel.llm._io import table, written
-from matrel.llm.components import components
+from matrel.llm.components import components, roots
 
 #: Vectors the axes are fitted on (those with the least hashes); bounds what the driver reads.
 SAMPLE = 4000
@@ -196,20 +196,6 @@ class _Join:
             self.go(i, j, half, m)
 
 
-def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node it is connected with."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[rows], root[cols])
-        new = root.copy()
-        np.minimum.at(new, root[rows], low)
-        np.minimum.at(new, root[cols], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_vectors(docs: DataFrame, threshold: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id") -> DataFrame:
     """Rows ``key, n_links, component_id, kept``, one for each row of ``docs``.
 
@@ -245,7 +231,7 @@ def near_vectors(docs: DataFrame, threshold: float = 0.93, vector: str = "embedd
                 np.add.at(n, x[rows], copies_b.to_numpy()[cols])
                 if not batch.column(0)[k].as_py():
                     np.add.at(n, y[cols], copies_a.to_numpy()[rows])
-                root = forest(len(names), x[rows], y[cols])
+                root = roots(len(names), x[rows], y[cols])
                 hit = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(names[hit], ids_a.type), pa.array(n[hit]), pa.array(names[root[hit]], ids_a.type)], names=["id", "n", "root"])
 

@@ -168,7 +168,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(found >= ALIKE))
 
     sketches = rows.select("mark", "text").mapInArrow(_words.tidy(sketched), "mark long, n long, regs binary")
-    sketches = written(sketches.groupBy("mark").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "sketches")
+    sketches = written(sketches.groupBy("mark").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "sketches", heavy=True)
     bands = sketches.select("mark", "regs").mapInArrow(_words.tidy(banded), "mark long, band long")
     least = bands.groupBy("band").agg(F.min("mark").alias("group"), F.max("mark").alias("most")).where(F.col("group") < F.col("most"))
     least = written(least.select("band", "group"), "least")
@@ -185,7 +185,7 @@ def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key
     key and text are one; an empty table gives none.
     """
     rows = _rows(docs, text, key)
-    groups = written(copy_groups(rows), "groups")
+    groups = copy_groups(rows)
     leaves = written(_leaves(rows, groups, least), "leaves")
     lines = _candidates(rows, _bitmap(leaves)).join(leaves, "leaf", "left_semi").withColumn("same", F.xxhash64("tokens"))
     lines = written(lines, "lines")
