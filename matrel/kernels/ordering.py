@@ -301,7 +301,50 @@ def find_supernodes(parent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array(starts, int)
 
 
-column_supernodes = find_supernodes
+def column_supernodes(parent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(supernode of each column, starts with the end) of a column tree in postorder."""
+    starts = find_supernodes(parent, counts)
+    ends = np.append(starts, len(parent))
+    return np.repeat(np.arange(len(starts)), np.diff(ends)), ends
+
+
+def first_descendants(parent: np.ndarray) -> np.ndarray:
+    """The least column in each column's subtree; the tree is in postorder."""
+    first = np.arange(len(parent))
+    for k, up in enumerate(parent.tolist()):
+        if up >= 0:
+            first[up] = min(first[up], first[k])
+    return first
+
+
+def etree_leaf(parent: np.ndarray, first: np.ndarray, i: int, j: int, before: int) -> tuple[int, int]:
+    """(kind, ancestor) of column j in the subtree of row i, the leaf before it being ``before`` (-1: none).
+
+    Kind 0: no leaf, as one came that lies below it; 1: the first leaf, whose ancestor is the row itself; 2: a later one,
+    with the least common ancestor of it and the one before.
+    """
+    if i <= j or before >= first[j]:
+        return 0, -1
+    if before < 0:
+        return 1, i
+    up = before
+    while up < j:
+        up = int(parent[up])
+    return 2, up
+
+
+def row_leaves(a: Csr, parent: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, column, kind, ancestor) of all leaves of the rows' subtrees, columns ascending."""
+    first = first_descendants(parent)
+    out = []
+    for i in range(a.shape[0]):
+        before = -1
+        for j in a.row(i)[0].tolist():
+            kind, up = etree_leaf(parent, first, i, j, before)
+            if kind:
+                out.append((i, j, kind, up))
+                before = j
+    return out
 
 
 def analyze_unsymmetric(a: Csr, order: np.ndarray | None = None) -> dict[str, np.ndarray]:

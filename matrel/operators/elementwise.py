@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,6 +101,18 @@ def transform(a, f: Callable[[Column], Column]):
     return a.dense().map(f)
 
 
+def evaluate(a):
+    """``a`` as a value: what is made of it later reads the kept rows instead of computing them anew. Lost rows are computed again."""
+    return _like(a, a.df.persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def fused_assign(a, *terms):
+    """The sum of several matrices or vectors in the place of ``a``, with its shape and type, in one union and one sum."""
+    first, *rest = terms
+    _check(a, first)
+    return fused_plus_assign(_like(a, first.df.select(*_keys(a), F.col("v").cast(a.dtype).alias("v"))), *rest)
+
+
 def fused_plus_assign(a, *terms):
     """``a`` plus several matrices or vectors, in one union and one sum."""
     out = a.df

@@ -33,6 +33,21 @@ def broadcast_strides(shape: Sequence[int], to: Sequence[int], order: str = "C")
     return tuple(0 if n == 1 and m != 1 else s for n, m, s in zip(shape, to, strides(shape, order), strict=True))
 
 
+def is_c_contiguous(a: NdArray) -> bool:
+    """Whether storage order is row by row. A relation has no gaps, so its order alone decides."""
+    return a.order == "C" or a.rank <= 1
+
+
+def is_f_contiguous(a: NdArray) -> bool:
+    """Whether storage order is column by column."""
+    return a.order == "F" or a.rank <= 1
+
+
+def is_view(a: NdArray) -> bool:
+    """Whether the elements belong to another array: a relation that selects from one does, until it is written or kept."""
+    return not a.df.is_cached
+
+
 @dataclass(frozen=True)
 class NdArray:
     df: DataFrame

@@ -55,23 +55,44 @@ def matmul_quad(a: Matrix, b: Matrix) -> Matrix:
     return out.map(lambda v: wrapped(v, 32))
 
 
+#: Blocks of partial sums a task keeps before it passes them on, and parts into which the partial sums of one block are dealt for their first sum.
+HELD, DEALT = 64, 16
+
+
 def matmul_blocks(a: Matrix, b: Matrix, size: int = 256) -> Matrix:
-    """The product of dense matrices by blocks of ``size``: NumPy multiplies pairs of blocks, Spark sums them."""
+    """The product of dense matrices by blocks of ``size``: NumPy multiplies pairs of blocks, a task sums what it makes for one place.
+
+    What tasks pass on is summed in two rounds, of which the first deals the partial sums of a place over ``DEALT`` groups.
+    """
     if a.ncols != b.nrows:
         raise ValueError(f"{a.shape} times {b.shape}")
     nrows, ncols = a.nrows, b.ncols
     x = blocks_form(a, size).select(F.col("bi").alias("i"), F.col("bj").alias("t"), F.col("k").alias("ka"), F.col("v").alias("va"))
     y = blocks_form(b, size).select(F.col("bi").alias("t"), F.col("bj").alias("j"), F.col("k").alias("kb"), F.col("v").alias("vb"))
 
+    def block(k: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(size * size)
+        out[np.asarray(k)] = v
+        return out.reshape(size, size)
+
     def times(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def block(k: np.ndarray, v: np.ndarray) -> np.ndarray:
-            out = np.zeros(size * size)
-            out[np.asarray(k)] = v
-            return out.reshape(size, size)
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"i": [i for i, _ in held], "j": [j for _, j in held], "block": [v.reshape(-1) for v in held.values()]})
 
         for f in frames:
             for i, j, ka, va, kb, vb in zip(f["i"], f["j"], f["ka"], f["va"], f["kb"], f["vb"], strict=True):
-                yield pd.DataFrame({"i": [i], "j": [j], "block": [(block(ka, va) @ block(kb, vb)).reshape(-1)]})
+                if (i, j) not in held and len(held) >= HELD:
+                    yield out()
+                    held.clear()
+                made = block(ka, va) @ block(kb, vb)
+                held[i, j] = held[i, j] + made if (i, j) in held else made
+        if held:
+            yield out()
+
+    def summed(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": f["i"].iloc[:1], "j": f["j"].iloc[:1], "block": [np.sum(np.stack(f["block"].to_list()), axis=0)]})
 
     def total(f: pd.DataFrame) -> pd.DataFrame:
         flat = np.sum(np.stack(f["block"].to_list()), axis=0)
@@ -80,8 +101,11 @@ def matmul_blocks(a: Matrix, b: Matrix, size: int = 256) -> Matrix:
         ok = (rows < nrows) & (cols < ncols)
         return pd.DataFrame({"i": rows[ok], "j": cols[ok], "v": flat[ok]})
 
-    pairs = x.join(y, "t").select("i", "j", "ka", "va", "kb", "vb").mapInPandas(times, "i long, j long, block array<double>")
-    return Matrix(pairs.groupBy("i", "j").applyInPandas(total, "i long, j long, v double"), nrows, ncols)
+    kind = "i long, j long, block array<double>"
+    parts = x.join(y, "t").select("i", "j", "ka", "va", "kb", "vb").mapInPandas(times, kind)
+    if a.ncols > DEALT * size:
+        parts = parts.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(DEALT))).groupBy("i", "j", "part").applyInPandas(lambda f: summed(f), kind)
+    return Matrix(parts.groupBy("i", "j").applyInPandas(total, "i long, j long, v double"), nrows, ncols)
 
 
 def chain(*factors: Matrix | Vector) -> Matrix | Vector:

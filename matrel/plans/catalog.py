@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -12,14 +13,12 @@ from pyspark.sql import functions as F
 from matrel.functions import generators as gen
 from matrel.functions import scalar
 from matrel.functions.accumulators import Accumulator
-from matrel.kernels import dense, grouped, ordering, precond, sparse
+from matrel.kernels import sparse
 from matrel.operators import construct, elementwise, ndarray, products, properties, reductions, tensors, views
+from matrel.plans import answers, files
 from matrel.plans import fixtures as fx
 from matrel.plans.fixtures import sql
 from matrel.relation import Matrix, Vector
-from matrel.solvers import eigen, krylov
-from matrel.solvers.iteration import Iteration
-from matrel.solvers.operators import Csr
 from matrel.sources import spy, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +161,12 @@ add("vector_add", _uw(elementwise.add), "SELECT i, CAST(sum(v) AS BIGINT) AS v F
 add("vector_subtract", _uw(elementwise.subtract), "SELECT i, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i, v FROM u UNION ALL SELECT i, -v FROM w) GROUP BY 1")
 add("vector_scale", _u(lambda x: elementwise.scale(x, 5)), "SELECT i, 5 * v AS v FROM u")
 add("fused_plus_assign", _uw(lambda x, y: elementwise.fused_plus_assign(x, y, y)), "SELECT i, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i, v FROM u UNION ALL SELECT i, 2 * v FROM w) GROUP BY 1")
+add("fused_assign", _uw(lambda x, y: elementwise.fused_assign(x, y, x, y)), "SELECT i, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i, v FROM u UNION ALL SELECT i, 2 * v FROM w) GROUP BY 1")
+add("evaluate", _qr(lambda a, b: elementwise.evaluate(elementwise.add(a, b))), "SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i, j, v FROM q UNION ALL SELECT i, j, v FROM r) GROUP BY 1, 2")
+add("typed_functors", _u(lambda x: x.map(lambda v: scalar.divide_by(4)(scalar.rscale(5)(scalar.scale(3)(v).cast("double"))))), "SELECT i, v * 15 / 4.0::DOUBLE AS v FROM u")
+add("round_type", _u(lambda x: x.df.select("i", Accumulator(acc="float").round_out(F.col("v") / 3).cast("double").alias("low"), Accumulator(acc="bigint").round_out(F.col("v") / 3).alias("high"))), "SELECT i, CAST(CAST(v / 3.0::DOUBLE AS FLOAT) AS DOUBLE) AS low, v / 3.0::DOUBLE AS high FROM u")
+add("interop_matrix", _q(lambda a: construct.as_ndarray(construct.as_matrix(construct.as_ndarray(a), 48, 48))), "SELECT t.i AS d0, s.j AS d1, CAST(coalesce(q.v, 0) AS BIGINT) AS v FROM range(48) t(i) CROSS JOIN range(48) s(j) LEFT JOIN q ON q.i = t.i AND q.j = s.j")
+add("interop_vector", _u(lambda x: construct.as_vector(construct.as_ndarray(x), 48)), "SELECT t.i, CAST(coalesce(u.v, 0) AS BIGINT) AS v FROM range(48) t(i) LEFT JOIN u ON t.i = u.i")
 add("power", lambda s, sf: elementwise.power(fx.sizes(s, sf), 2.0).df, "SELECT i, pow(CAST(v AS DOUBLE), 2.0) AS v FROM x")
 add("transform", _u(lambda x: elementwise.transform(x, lambda v: v * 2 + 1)), "SELECT t.i, coalesce(u.v, 0) * 2 + 1 AS v FROM range(48) t(i) LEFT JOIN u ON t.i = u.i")
 
@@ -188,8 +193,8 @@ _FUNCTIONS = {
     "ceil": ("z", "ceil(z)"),
     "cos": ("z", "cos(z)"),
     "cosh": ("z", "cosh(z)"),
-    "erf": ("z", None),
-    "erfc": ("z", None),
+    "erf": ("z", "2 / sqrt(pi()) * list_sum([pow(-1.0::DOUBLE, n) * pow(z, 2 * n + 1) / (gamma(n + 1.0::DOUBLE) * (2 * n + 1)) for n in range(60)])"),
+    "erfc": ("z", "1 - 2 / sqrt(pi()) * list_sum([pow(-1.0::DOUBLE, n) * pow(z, 2 * n + 1) / (gamma(n + 1.0::DOUBLE) * (2 * n + 1)) for n in range(60)])"),
     "exp": ("z", "exp(z)"),
     "exp2": ("z", "pow(2.0, z)"),
     "floor": ("z", "floor(z)"),
@@ -226,7 +231,7 @@ for _name, _op, _f in (("wrap_add", "+", scalar.wrap_add), ("wrap_sub", "-", sca
 # Reductions
 
 add("sum", lambda s, sf: reductions.total(fx.sizes(s, sf)), "SELECT CAST(sum(v) AS BIGINT) AS value FROM x")
-add("product", _u(lambda x: reductions.product(views.sub_vector(x.map(lambda v: v % 3 + 1), 0, 20))), "SELECT product(v % 3 + 1) AS value FROM u WHERE i < 20")
+add("product", _u(lambda x: reductions.product(x.map(lambda v: v % 2 + 1))), "SELECT product(v % 2 + 1) AS value FROM u")
 add("min", lambda s, sf: reductions.minimum(fx.quantities(s, sf)), "SELECT CAST(0 AS BIGINT) AS value")
 add("max", lambda s, sf: reductions.maximum(fx.quantities(s, sf)), "SELECT max(v) AS value FROM a")
 add("trace", _q(reductions.trace), "SELECT CAST(coalesce(sum(v), 0) AS BIGINT) AS value FROM q WHERE i = j")
@@ -252,11 +257,11 @@ add("spmv_wide", lambda s, sf: products.mult(fx.quantities(s, sf), fx.sizes(s, s
 add("axpy", _uw(lambda x, y: products.axpy(3, x, y)), "SELECT i, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i, 3 * v AS v FROM u UNION ALL SELECT i, v FROM w) GROUP BY 1")
 _mm = "SELECT q.i, r.j, CAST(sum(q.v * r.v) AS BIGINT) AS v FROM q JOIN r ON q.j = r.i GROUP BY q.i, r.j"
 add("matmul", _qr(products.matmul), _mm)
-add("spgemm", lambda s, sf: products.spgemm(fx.quantities(s, sf).where(F.col("i") < 30), views.transposed(fx.quantities(s, sf))).df, "SELECT b1.i, b2.i AS j, CAST(sum(b1.v * b2.v) AS BIGINT) AS v FROM (SELECT * FROM a WHERE i < 30) b1 JOIN a b2 ON b1.j = b2.j GROUP BY 1, 2")
+add("spgemm", lambda s, sf: products.spgemm(fx.quantities(s, sf), views.transposed(fx.quantities(s, sf))).df, "SELECT b1.i, b2.i AS j, CAST(sum(b1.v * b2.v) AS BIGINT) AS v FROM a b1 JOIN a b2 ON b1.j = b2.j GROUP BY 1, 2")
 add("matmul_blocks", _qr(lambda a, b: products.matmul_blocks(a, b, 16).where(F.col("v") != 0).map(lambda v: v.cast("bigint"))), _mm + " HAVING sum(q.v * r.v) <> 0")
 add("matmul_quad", _qr(lambda a, b: products.matmul_quad(a.map(lambda v: v % 256), b.map(lambda v: v % 128))), "SELECT q.i, r.j, CAST(sum((q.v % 256) * (r.v % 128)) AS BIGINT) AS v FROM q JOIN r ON q.j = r.i GROUP BY q.i, r.j")
 add("product_chain", lambda s, sf: products.chain(fx.square(s, sf), fx.other(s, sf), fx.short(s, sf)).df, "SELECT q.i, CAST(sum(q.v * y.v) AS BIGINT) AS v FROM q JOIN (SELECT r.i, sum(r.v * u.v) AS v FROM r JOIN u ON r.j = u.i GROUP BY r.i) y ON q.j = y.i GROUP BY q.i")
-add("kron", lambda s, sf: products.kron(views.sub_matrix(fx.square(s, sf), 0, 6, 0, 6), views.sub_matrix(fx.other(s, sf), 0, 5, 0, 7)).df, "SELECT q.i * 5 + r.i AS i, q.j * 7 + r.j AS j, q.v * r.v AS v FROM q, r WHERE q.i < 6 AND q.j < 6 AND r.i < 5 AND r.j < 7")
+add("kron", lambda s, sf: products.kron(fx.folded(fx.square(s, sf), 6, 6), fx.folded(fx.other(s, sf), 5, 7)).df, "SELECT x1.i * 5 + y1.i AS i, x1.j * 7 + y1.j AS j, x1.v * y1.v AS v FROM (SELECT i % 6 AS i, j % 6 AS j, CAST(sum(v) AS BIGINT) AS v FROM q GROUP BY 1, 2) x1, (SELECT i % 5 AS i, j % 7 AS j, CAST(sum(v) AS BIGINT) AS v FROM r GROUP BY 1, 2) y1")
 add("ger", lambda s, sf: products.ger(fx.square(s, sf), 2, fx.short(s, sf), fx.short2(s, sf)).df, "SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i, j, v FROM q UNION ALL SELECT u.i, w.i, 2 * u.v * w.v FROM u, w) GROUP BY 1, 2")
 add("symv", lambda s, sf: products.symv(views.hermitian(fx.square(s, sf)), fx.short(s, sf), 2, 3, fx.short2(s, sf)).df, "SELECT i, CAST(sum(v) AS BIGINT) AS v FROM (SELECT h.i, 2 * h.v * u.v AS v FROM (SELECT i, j, v FROM q WHERE i <= j UNION ALL SELECT j, i, v FROM q WHERE i < j) h JOIN u ON h.j = u.i UNION ALL SELECT i, 3 * v FROM w) GROUP BY 1")
 add("trmv", lambda s, sf: products.trmv(fx.square(s, sf), fx.short(s, sf), lower_part=True).df, "SELECT q.i, CAST(sum(q.v * u.v) AS BIGINT) AS v FROM q JOIN u ON q.j = u.i WHERE q.i >= q.j GROUP BY q.i")
@@ -294,12 +299,12 @@ add("is_orthogonal_to", _uw(properties.is_orthogonal_to), _false)
 
 
 def _nd(s: SparkSession, sf: str) -> ndarray.NdArray:
-    """4 x 6 x 5."""
-    flat = fx.table(s, sf, "part").where("p_partkey <= 120").select((F.col("p_partkey") - 1).alias("flat"), F.col("p_size").cast("bigint").alias("v"))
+    """4 x 6 x 5: the sizes of all parts, folded."""
+    flat = fx.table(s, sf, "part").groupBy((F.col("p_partkey") % 120).alias("flat")).agg(F.sum(F.col("p_size").cast("bigint")).alias("v"))
     return ndarray._unflat(flat, (4, 6, 5), "C")
 
 
-_ND = "(SELECT (p_partkey - 1) // 30 AS d0, ((p_partkey - 1) // 5) % 6 AS d1, (p_partkey - 1) % 5 AS d2, CAST(p_size AS BIGINT) AS v FROM part WHERE p_partkey <= 120)"
+_ND = "(SELECT (p_partkey % 120) // 30 AS d0, ((p_partkey % 120) // 5) % 6 AS d1, p_partkey % 5 AS d2, CAST(sum(CAST(p_size AS BIGINT)) AS BIGINT) AS v FROM part GROUP BY 1, 2, 3)"
 
 
 def _n(f) -> Query:
@@ -326,6 +331,18 @@ add("nd_mean_axis", _n(lambda a: ndarray.mean_axis(a, 0)), f"SELECT d1 AS d0, d2
 add("nd_transform", _n(lambda a: ndarray.transform(a, lambda v: v * v)), f"SELECT d0, d1, d2, v * v AS v FROM {_ND}")
 add("nd_reduce", _n(lambda a: ndarray.reduce(a, F.lit(0).cast("bigint"), lambda s, v: (s * 31 + v) % 1_000_003)), f"SELECT list_reduce(list_prepend(CAST(0 AS BIGINT), list(v ORDER BY d0, d1, d2)), lambda s, v: (s * 31 + v) % 1000003) AS value FROM {_ND}")
 
+add("nd_broadcast_strides", lambda s, sf: s.createDataFrame([(c, k, v) for c, (a, b) in enumerate((((4, 1, 5), (4, 6, 5)), ((1, 6, 1), (4, 6, 5)))) for k, v in enumerate(ndarray.broadcast_strides(a, b))], "c long, k long, v long"), "SELECT c, k, CAST(CASE WHEN c = 0 THEN CASE k WHEN 0 THEN 5 WHEN 1 THEN 0 ELSE 1 END ELSE CASE k WHEN 1 THEN 1 ELSE 0 END END AS BIGINT) AS v FROM range(2) a(c), range(3) b(k)")
+
+
+def _layouts(s: SparkSession, sf: str) -> DataFrame:
+    a = _nd(s, sf)
+    kept = ndarray.NdArray(_nd(s, sf).df.persist(), a.shape, "F")
+    rows = [(k, ndarray.is_c_contiguous(x), ndarray.is_f_contiguous(x), ndarray.is_view(x)) for k, x in enumerate((a, kept, ndarray.flatten(a)))]
+    return s.createDataFrame(rows, "k long, c boolean, f boolean, view boolean")
+
+
+add("nd_layout", _layouts, "SELECT k, k <> 1 AS c, k > 0 AS f, k <> 1 AS view FROM range(3) t(k)")
+
 # Tensors
 
 
@@ -355,6 +372,42 @@ add("tensor_contract_vector", lambda s, sf: tensors.contract(tensors.bind(fx.squ
 add("tensor_outer", lambda s, sf: tensors.outer(tensors.bind(fx.short(s, sf).df, "i"), tensors.bind(fx.short2(s, sf).df, "j")), "SELECT u.i, w.i AS j, u.v * w.v AS v FROM u, w")
 add("tensor_lower", lambda s, sf: tensors.lower(tensors.relation(s, [[-1, 0], [0, 1]], "i", "j"), fx.short(s, sf).df.where("i < 2").select("i", F.col("v").cast("double").alias("v"))), "SELECT i, CASE i WHEN 0 THEN -CAST(v AS DOUBLE) ELSE CAST(v AS DOUBLE) END AS v FROM u WHERE i < 2")
 
+_flipped = lambda s: tensors.relation(s, [[(-1 if i == 0 else 1) * (i == j) for j in range(48)] for i in range(48)], "i", "j")
+for _name, _f, _axis in (("lower_first", tensors.lower_first, "i"), ("lower_second", tensors.lower_second, "j"), ("raise_first", tensors.raise_first, "i"), ("raise_second", tensors.raise_second, "j")):
+    add(f"tensor_{_name}", (lambda f: lambda s, sf: f(_flipped(s), fx.square(s, sf).df.select("i", "j", F.col("v").cast("double").alias("v"))))(_f), f"SELECT i, j, CASE WHEN {_axis} = 0 THEN -CAST(v AS DOUBLE) ELSE CAST(v AS DOUBLE) END AS v FROM q")
+add("tensor_metrics", lambda s, sf: s.range(16).select(F.expr("id div 4").alias("i"), (F.col("id") % 4).alias("j"), *[F.get(F.get(m, F.expr("int(id div 4)")), F.expr("int(id % 4)")).alias(n) for n, m in (("euclidean", tensors.euclidean_metric(4)), ("minkowski", tensors.minkowski_metric()))]), "SELECT i, j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS euclidean, CAST(CASE WHEN i <> j THEN 0 WHEN i = 0 THEN -1 ELSE 1 END AS DOUBLE) AS minkowski FROM range(4) a(i), range(4) b(j)")
+
+# Recursion and accumulation
+
+
+def _recursed(s: SparkSession, sf: str) -> DataFrame:
+    """The sum of each base block."""
+    parts = views.for_each(fx.square(s, sf), 16, lambda x, r, c: x.df.agg(F.sum("v").alias("v")).select(F.lit(r).cast("bigint").alias("r"), F.lit(c).cast("bigint").alias("c"), "v"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+add("for_each_block", _recursed, "SELECT i // 16 * 16 AS r, j // 16 * 16 AS c, CAST(sum(v) AS BIGINT) AS v FROM q GROUP BY 1, 2")
+add("base_case", lambda s, sf: s.createDataFrame([(m, n, views.is_base_case(Matrix(s.range(0), m, n), 4), views.is_base_case(Matrix(s.range(0), m, n), 4, True)) for m in range(1, 9) for n in range(1, 9)], "m long, n long, largest boolean, smallest boolean"), "SELECT m, n, greatest(m, n) <= 4 AS largest, least(m, n) <= 4 AS smallest FROM range(1, 9) a(m), range(1, 9) b(n)")
+
+
+def _accumulated(s: SparkSession, sf: str) -> DataFrame:
+    """Quantities by order group and part, added up in a sparse accumulator for each group, some of them in several batches."""
+    rows = fx.table(s, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("id"), (F.col("l_partkey") % 100).alias("j"), F.col("l_quantity").cast("double").alias("v"))
+
+    def run(keys: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        own = sparse.SparseAccumulator(100)
+        own.scatter(np.arange(100), 7.0)
+        own.clear()
+        for k in range(0, len(f), 500):
+            own.scatter(f["j"].to_numpy()[k : k + 500], f["v"].to_numpy()[k : k + 500])
+        at = own.indices()
+        return pd.DataFrame({"id": keys[0], "j": at, "v": [int(own[k]) for k in at], "nnz": own.nnz()})
+
+    return rows.groupBy("id").applyInPandas(run, "id long, j long, v long, nnz long")
+
+
+add("sparse_accumulator", _accumulated, "SELECT id, j, v, CAST(count(*) OVER (PARTITION BY id) AS BIGINT) AS nnz FROM (SELECT l_orderkey % 50 AS id, l_partkey % 100 AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2)")
+
 # Generators
 
 add("arange", lambda s, sf: gen.arange(s, 3, 50, 4).df, "SELECT i, 3 + 4 * i AS v FROM range(12) t(i)")
@@ -376,7 +429,7 @@ add("clement", lambda s, sf: gen.clement(s, 9).df, _g(9, "sqrt(CAST(greatest(i,
 add("companion", lambda s, sf: gen.companion(s, [1.0, -2.0, 3.0]).df, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(2 AS BIGINT), -1.0::DOUBLE), (1, 0, 1.0), (1, 2, 2.0), (2, 1, 1.0), (2, 2, -3.0)) t(i, j, v)")
 add("forsythe", lambda s, sf: gen.forsythe(s, 6, 0.5, 2.0).df, _g(6, "CASE WHEN i = j THEN 2 WHEN j = i + 1 THEN 1 ELSE 0.5 END", "i = j OR j = i + 1 OR (i = 5 AND j = 0)"))
 add("kahan", lambda s, sf: gen.kahan(s, 6).df.select("i", "j", F.round(F.col("v") * 1e9).cast("bigint").alias("nano")), "SELECT i, j, CAST(round(CASE WHEN i = j THEN 25 ELSE -cos(1.2::DOUBLE) END * pow(sin(1.2::DOUBLE), i) * 1e9) AS BIGINT) AS nano FROM range(6) t(i), range(6) s(j) WHERE i <= j")
-add("rosser", lambda s, sf: gen.rosser(s).df.agg(F.sum("v").alias("s"), F.count("v").alias("n")), None)
+add("rosser", lambda s, sf: s.createDataFrame([(k, int(round(w * 1e6))) for k, w in enumerate(np.linalg.eigvalsh(gen.rosser(s).to_numpy()))], "k long, v long"), "SELECT k, CAST(round(1000000 * w) AS BIGINT) AS v FROM (VALUES (0, -10 * sqrt(10405.0::DOUBLE)), (1, 0.0::DOUBLE), (2, 510 - 100 * sqrt(26.0::DOUBLE)), (3, 1000.0::DOUBLE), (4, 1000.0::DOUBLE), (5, 510 + 100 * sqrt(26.0::DOUBLE)), (6, 1020.0::DOUBLE), (7, 10 * sqrt(10405.0::DOUBLE))) t(k, w)")
 add("magic_sums", lambda s, sf: gen.magic(s, 9).df.groupBy("i").agg(F.sum("v").alias("v")), "SELECT i, CAST(369 AS DOUBLE) AS v FROM range(9) t(i)")
 add("magic_even", lambda s, sf: gen.magic(s, 8).df, _g(8, "CASE WHEN i % 4 = j % 4 OR i % 4 + j % 4 = 3 THEN 64 - i * 8 - j ELSE i * 8 + j + 1 END"))
 add("laplacian_1d", lambda s, sf: gen.laplacian_1d(s, 20).df, _g(20, "CASE WHEN i = j THEN 2 ELSE -1 END", "abs(i - j) <= 1"))
@@ -386,195 +439,11 @@ add("poisson2d", lambda s, sf: gen.poisson2d_dirichlet(s, 12, 12).df, _g(144, "1
 
 # Grids and printed forms
 
-add("spy_grid", _a(lambda a: spy.build_grid(a, 20)))
 add("spy_nonzeros", _q(spy.for_each_nonzero), "SELECT i, j, v FROM q WHERE v <> 0")
 add("print_sparse", _q(text.print_sparse), "SELECT i, j, '(' || i || ', ' || j || ') = ' || v AS line FROM q")
-add("print_matlab", _q(lambda a: text.print_matlab(views.sub_matrix(a, 0, 3, 0, 3))), "SELECT 'A = [' || string_agg(l, '; ' ORDER BY i) || ']' AS text FROM (SELECT t.i, string_agg(CAST(coalesce(q.v, 0) AS VARCHAR), ', ' ORDER BY s.j) AS l FROM range(3) t(i) CROSS JOIN range(3) s(j) LEFT JOIN q ON q.i = t.i AND q.j = s.j GROUP BY t.i)")
-
-# Kernels over many small matrices: a matrix of 6 x 6 a group, with a strong diagonal
-
-
-def _small(s: SparkSession, sf: str) -> DataFrame:
-    rows = fx.table(s, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("id"), (F.col("l_partkey") % 6).alias("i"), (F.col("l_suppkey") % 6).alias("j"), F.col("l_quantity").cast("double").alias("v"))
-    summed = rows.groupBy("id", "i", "j").agg(F.sum("v").alias("v"))
-    eye = s.range(50 * 6).select(F.expr("id div 6").alias("id"), (F.col("id") % 6).alias("i"), (F.col("id") % 6).alias("j"), F.lit(1e6).alias("v"))
-    return summed.unionByName(eye).groupBy("id", "i", "j").agg(F.sum("v").alias("v"))
-
-
-def _symmetric(a: np.ndarray) -> np.ndarray:
-    return (a + a.T) / 2
+add("print_matlab", _q(lambda a: text.print_matlab(a)), "SELECT 'A = [' || string_agg(l, '; ' ORDER BY i) || ']' AS text FROM (SELECT t.i, string_agg(CAST(coalesce(q.v, 0) AS VARCHAR), ', ' ORDER BY s.j) AS l FROM range(48) t(i) CROSS JOIN range(48) s(j) LEFT JOIN q ON q.i = t.i AND q.j = s.j GROUP BY t.i)")
 
-
-def _grouped(kernel: Callable[[np.ndarray], dict], schema: str = "residual long, ok boolean") -> Query:
-    return lambda s, sf: grouped.map_matrices(_small(s, sf), 6, 6, kernel, schema)
-
-
-def _rest(r: np.ndarray, size: np.ndarray) -> dict:
-    """A relative residual in whole parts of 1e-9: 0 if the factorization holds."""
-    rel = float(np.abs(r).max() / max(1e-300, np.abs(size).max()))
-    return {"residual": int(rel * 1e9), "ok": rel < 1e-9}
-
-
-_B = np.arange(1.0, 7.0)
-
-
-def _lu(a):
-    lu, p, _ = dense.lu_factor(a)
-    return _rest(a @ dense.lu_solve(lu, p, _B) - _B, _B)
-
-
-def _qr_kernel(a):
-    qr, t = dense.qr_factor(a)
-    return _rest(dense.qr_extract_q(qr, t) @ dense.qr_extract_r(qr) - a, a)
-
-
-def _svd_kernel(a):
-    u, s, v = dense.svd(a)
-    return _rest(u @ s @ v.T - a, a)
-
-
-def _bk(a):
-    m = _symmetric(a) - 1e6 * np.eye(6)
-    return _rest(m @ dense.ldlt_bk_solve(*dense.ldlt_bk_factor(m)[:2], _B) - _B, _B)
-
-
-def _lq_kernel(a):
-    lq, t = dense.lq_factor(a[:4])
-    return _rest(dense.lq_extract_l(lq) @ dense.lq_extract_q(lq, t) - a[:4], a)
-
-
-def _eig(a):
-    w, v = dense.eigen(a)
-    return _rest(a @ v - v * w, a)
-
-
-def _eigs(a):
-    m = _symmetric(a)
-    w, v = dense.eigen_symmetric(m)
-    return _rest(m @ v - v * w, m)
-
-
-_ALL_OK = "SELECT CAST(id AS BIGINT) AS id, CAST(0 AS BIGINT) AS residual, true AS ok FROM range(50) t(id)"
-for _name, _kernel in {
-    "lu": _lu,
-    "lu_adjoint": lambda a: _rest(a.T @ dense.lu_adjoint_solve(*dense.lu_factor(a)[:2], _B) - _B, _B),
-    "inverse": lambda a: _rest(a @ dense.inv(a) - np.eye(6), np.eye(6)),
-    "lu_refine": lambda a: _rest(a @ dense.lu_iterative_refine(a, _B) - _B, _B),
-    "cholesky": lambda a: _rest(_symmetric(a) @ dense.cholesky_solve(dense.cholesky_factor(_symmetric(a))[0], _B) - _B, _B),
-    "ldlt": lambda a: _rest(_symmetric(a) @ dense.ldlt_solve(dense.ldlt_factor(_symmetric(a))[0], _B) - _B, _B),
-    "ldlt_bk": _bk,
-    "qr": _qr_kernel,
-    "qr_solve": lambda a: _rest(a @ dense.qr_solve(a, _B) - _B, _B),
-    "lq": _lq_kernel,
-    "hessenberg": lambda a: _rest(np.array([np.trace(dense.hessenberg(a)) - np.trace(a)]), a),
-    "tridiagonal": lambda a: _rest(np.sort(np.linalg.eigvalsh(_symmetric(dense.tridiagonalize(_symmetric(a))))) - dense.eigenvalue_symmetric(_symmetric(a)), a),
-    "svd": _svd_kernel,
-    "eigen": _eig,
-    "eigen_symmetric": _eigs,
-    "trsv": lambda a: _rest(np.tril(a) @ dense.trsv(a, _B, lower=True) - _B, _B),
-    "trsm": lambda a: _rest(np.triu(a) @ dense.trsm(a, np.eye(6)) - np.eye(6), np.eye(6)),
-}.items():
-    QUERIES[f"grouped_{_name}"] = _grouped(_kernel)
-    ORACLE_SQL[f"grouped_{_name}"] = _ALL_OK
-for _name, _kernel, _schema, _sql in (
-    ("rank", lambda a: {"rank": dense.numerical_rank(a), "nullity": dense.nullity(a)}, "rank long, nullity long", "CAST(6 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS nullity"),
-    ("inertia", lambda a: dict(zip(("plus", "minus", "zero"), dense.inertia(_symmetric(a)), strict=True)), "plus long, minus long, zero long", "CAST(6 AS BIGINT) AS plus, CAST(0 AS BIGINT) AS minus, CAST(0 AS BIGINT) AS zero"),
-    ("is_spd", lambda a: {"spd": dense.is_spd(_symmetric(a)), "singular": dense.is_singular(a), "indefinite": dense.is_indefinite(_symmetric(a))}, "spd boolean, singular boolean, indefinite boolean", "true AS spd, false AS singular, false AS indefinite"),
-    ("condition", lambda a: {"small": dense.condition_number(a) < 100, "same": abs(dense.rcond(a) * dense.condition_number(a) - 1) < 1e-12, "radius": dense.spectral_radius(a) >= 1e6}, "small boolean, same boolean, radius boolean", "true AS small, true AS same, true AS radius"),
-):
-    QUERIES[f"grouped_{_name}"] = _grouped(_kernel, _schema)
-    ORACLE_SQL[f"grouped_{_name}"] = f"SELECT CAST(id AS BIGINT) AS id, {_sql} FROM range(50) t(id)"
-add("grouped_determinant", _grouped(lambda a: {"log10": round(float(np.log10(dense.determinant(a))), 6)}, "log10 double"))
-
-# Solvers: one row each, with what they reached
-
-
-def _system(s: SparkSession) -> tuple[Matrix, np.ndarray]:
-    return gen.laplacian_2d(s, 20, 20), np.ones(400)
-
-
-def _row(s: SparkSession, **values) -> DataFrame:
-    return s.createDataFrame(pd.DataFrame([values]))
-
-
-def _krylov(name: str) -> Query:
-    def run(s: SparkSession, sf: str) -> DataFrame:
-        a, b = _system(s)
-        x, code = krylov.SOLVERS[name](a, b, it=Iteration(float(np.linalg.norm(b)), 500, 1e-10))
-        rest = products.residual(a, Vector(s.createDataFrame(pd.DataFrame({"i": np.arange(400), "v": x})), 400), Vector(s.createDataFrame(pd.DataFrame({"i": np.arange(400), "v": b})), 400))
-        return reductions.infinity_norm(rest).select(F.lit(code).alias("code"), (F.col("value") < 1e-7).alias("ok"))
-
-    return run
-
-
-for _name in krylov.SOLVERS:
-    QUERIES[f"krylov_{_name}"] = _krylov(_name)
-    ORACLE_SQL[f"krylov_{_name}"] = "SELECT 0 AS code, true AS ok"
-
-
-def _csr(s: SparkSession) -> tuple[Csr, np.ndarray]:
-    from matrel.solvers.operators import to_csr
-
-    return to_csr(gen.laplacian_2d(s, 12, 12)), np.arange(1.0, 145.0)
-
-
-def _direct(f) -> Query:
-    def run(s: SparkSession, sf: str) -> DataFrame:
-        a, b = _csr(s)
-        return _row(s, ok=bool(np.abs(a @ f(a, b) - b).max() < 1e-8))
-
-    return run
-
-
-def _levels(a: Csr, b: np.ndarray) -> np.ndarray:
-    f = sparse.SparseCholesky(a)
-    low = f.factor()
-    x = sparse.LevelSchedule(low, "lower_transpose").solve(sparse.LevelSchedule(low, "lower").solve(b[f.p]))
-    out = np.empty(len(x))
-    out[f.p] = x
-    return out
-
-
-for _name, _f in {
-    "cholesky": sparse.sparse_cholesky_solve,
-    "ldlt": sparse.sparse_ldlt_solve,
-    "lu": sparse.sparse_lu_solve,
-    "qr": sparse.sparse_qr_solve,
-    "klu": sparse.klu_solve,
-    "refined": sparse.solve_refined,
-    "level_scheduled": _levels,
-    "lu_refactor": lambda a, b: sparse.SparseLu(a).refactor(a).solve(b),
-}.items():
-    QUERIES[f"sparse_{_name}"] = _direct(_f)
-    ORACLE_SQL[f"sparse_{_name}"] = "SELECT true AS ok"
-for _name, _make in {
-    "diagonal": precond.Diagonal,
-    "block_diagonal": lambda a: precond.BlockDiagonal(a, 12),
-    "ic0": precond.Ic0,
-    "ildl": precond.Ildl,
-    "ilu0": precond.Ilu0,
-    "ilut": precond.Ilut,
-    "ssor": precond.Ssor,
-}.items():
-    QUERIES[f"preconditioned_{_name}"] = (lambda make: _direct(lambda a, b: krylov.cg(a, b, m=make(a), it=Iteration(float(np.linalg.norm(b)), 500, 1e-13))[0]))(_make)
-    ORACLE_SQL[f"preconditioned_{_name}"] = "SELECT true AS ok"
-
-
-def _smoothed(f) -> Query:
-    def run(s: SparkSession, sf: str) -> DataFrame:
-        a, b = _csr(s)
-        x = np.zeros(len(b))
-        first = np.linalg.norm(b)
-        for _ in range(30):
-            x = f(a, x, b)
-        return _row(s, ok=bool(np.linalg.norm(b - a @ x) < first))
-
-    return run
-
-
-for _name, _f in {"jacobi": precond.jacobi, "gauss_seidel": precond.gauss_seidel, "backward_gauss_seidel": precond.backward_gauss_seidel, "symmetric_gauss_seidel": precond.symmetric_gauss_seidel, "sor": lambda a, x, b: precond.sor(a, x, b, 1.2), "backward_sor": lambda a, x, b: precond.backward_sor(a, x, b, 1.2), "symmetric_sor": lambda a, x, b: precond.symmetric_sor(a, x, b, 1.2)}.items():
-    QUERIES[f"smoother_{_name}"] = _smoothed(_f)
-    ORACLE_SQL[f"smoother_{_name}"] = "SELECT true AS ok"
+# Solvers by joins
 
 
 def _jacobi(s: SparkSession, sf: str) -> DataFrame:
@@ -587,55 +456,6 @@ def _jacobi(s: SparkSession, sf: str) -> DataFrame:
 
 add("jacobi_sweep", _jacobi, "SELECT i, CAST(round(CAST(sum(v) AS DOUBLE) * 1e4) AS BIGINT) AS v FROM (SELECT i, CAST(v AS DOUBLE) AS v FROM u UNION ALL SELECT y.i, CAST(y.v AS DOUBLE) / d.d FROM (SELECT i, sum(v) AS v FROM (SELECT i, v FROM w UNION ALL SELECT g.i, -g.v * u.v FROM (SELECT b1.i, b2.i AS j, sum(b1.v * b2.v) AS v FROM q b1 JOIN q b2 ON b1.j = b2.j GROUP BY 1, 2) g JOIN u ON g.j = u.i) GROUP BY i) y JOIN (SELECT i, sum(v * v) AS d FROM q GROUP BY i) d ON y.i = d.i) GROUP BY i")
 
-
-def _multigrid(s: SparkSession, sf: str) -> DataFrame:
-    from matrel.solvers import multigrid as mg
-
-    sizes = [63, 31, 15]
-    levels = [gen.laplacian_1d(s, 63)]
-    down, up = [], []
-    for n in sizes[:-1]:
-        r, p = mg.make_restriction_1d(s, n), mg.make_prolongation_1d(s, (n - 1) // 2)
-        levels.append(mg.galerkin(r, levels[-1], p))
-        down.append(r)
-        up.append(p)
-    m = mg.Multigrid.from_relations(levels, down, up, lambda a: lambda x, b: precond.gauss_seidel(a, x, b), lambda a: lambda b: sparse.sparse_lu_solve(a, b))
-    b, x, y = np.ones(63), np.zeros(63), np.zeros(63)
-    for _ in range(12):
-        x, y = m.vcycle(x, b), m.wcycle(y, b)
-    rest = max(float(np.abs(b - m.levels[0] @ z).max()) for z in (x, y))
-    return _row(s, ok=rest < 1e-6)
-
-
-add("multigrid", _multigrid, "SELECT true AS ok")
-
-
-def _power(s: SparkSession, sf: str) -> DataFrame:
-    value, _, done = eigen.power_iteration(products.syrk(fx.square(s, sf)), max_iter=2000, tol=1e-9)
-    top = np.linalg.eigvalsh(products.syrk(fx.square(s, sf)).to_numpy().astype(float))[-1]
-    return _row(s, ok=bool(done and abs(value - top) < 1e-6 * top))
-
-
-add("power_iteration", _power, "SELECT true AS ok")
-QUERIES["lanczos"] = lambda s, sf: (lambda a: _row(s, ok=bool(np.allclose(eigen.lanczos(a, 3, "largest_real", 100)[0], np.linalg.eigvalsh(a.dense())[::-1][:3], rtol=1e-6))))(_csr(s)[0])
-QUERIES["arnoldi"] = lambda s, sf: (lambda a: _row(s, ok=bool(np.allclose(eigen.arnoldi(a, 2, "largest_magnitude", 100)[0].real, np.linalg.eigvalsh(a.dense())[::-1][:2], rtol=1e-6))))(_csr(s)[0])
-QUERIES["shift_invert"] = lambda s, sf: (lambda a: _row(s, ok=bool(np.isclose(eigen.sparse_eigs_shift_invert(a, 0.0, 1, 40)[0][0].real, np.linalg.eigvalsh(a.dense())[0]))))(_csr(s)[0])
-QUERIES["orderings"] = lambda s, sf: (lambda a: _row(s, ok=all(sorted(f(a).tolist()) == list(range(144)) for f in (ordering.rcm, ordering.amd, ordering.colamd)), fill_less=bool(ordering.column_counts(a.permuted(ordering.amd(a), ordering.amd(a))).sum() < ordering.column_counts(a).sum())))(_csr(s)[0])
-for _name in ("lanczos", "arnoldi", "shift_invert"):
-    ORACLE_SQL[_name] = "SELECT true AS ok"
-ORACLE_SQL["orderings"] = "SELECT true AS ok, true AS fill_less"
-
-
-def _rows64(s: SparkSession, sf: str) -> DataFrame:
-    return fx.table(s, sf, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("row"))
-
-
-def _tall_qr(s: SparkSession, sf: str) -> DataFrame:
-    """R of all embeddings: ``R^T R`` must be their Gram matrix."""
-    r = grouped.tall_r(_rows64(s, sf), 64)
-    flat = fx.table(s, sf, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
-    g = grouped.gram(Matrix(flat, int(flat.agg(F.max("i")).first()[0]) + 1, 64))
-    return _row(s, ok=bool(np.abs(r.T @ r - g).max() < 1e-8 * np.abs(g).max()))
-
-
-add("tall_qr", _tall_qr, "SELECT true AS ok")
+for _module in (answers, files):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)

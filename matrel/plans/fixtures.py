@@ -28,17 +28,23 @@ def quantities(spark: SparkSession, sf: str) -> Matrix:
 
 
 def square(spark: SparkSession, sf: str) -> Matrix:
-    """48 x 48, some entries missing."""
-    rows = table(spark, sf, "lineitem").where("l_linenumber = 5").select((F.col("l_orderkey") % 48).alias("i"), (F.col("l_partkey") % 48).alias("j"), F.col("l_quantity").cast("bigint").alias("v"))
+    """48 x 48: all quantities, folded."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 48).alias("i"), (F.col("l_partkey") % 48).alias("j"), F.col("l_quantity").cast("bigint").alias("v"))
     return Matrix(rows.groupBy("i", "j").agg(F.sum("v").alias("v")), 48, 48)
 
 
 def other(spark: SparkSession, sf: str) -> Matrix:
     """Another 48 x 48."""
-    rows = table(spark, sf, "lineitem").where("l_linenumber = 6").select((F.col("l_orderkey") % 48).alias("i"), (F.col("l_suppkey") % 48).alias("j"), F.col("l_quantity").cast("bigint").alias("v"))
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 48).alias("i"), (F.col("l_suppkey") % 48).alias("j"), F.col("l_quantity").cast("bigint").alias("v"))
     return Matrix(rows.groupBy("i", "j").agg(F.sum("v").alias("v")), 48, 48)
 
 
+def folded(a: Matrix, nrows: int, ncols: int) -> Matrix:
+    """All entries summed into a smaller matrix."""
+    rows = a.df.select((F.col("i") % nrows).alias("i"), (F.col("j") % ncols).alias("j"), "v")
+    return Matrix(rows.groupBy("i", "j").agg(F.sum("v").alias("v")), nrows, ncols)
+
+
 def sizes(spark: SparkSession, sf: str) -> Vector:
     """By part."""
     return Vector(table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("bigint").alias("v")), _size(spark, sf, "part", "p_partkey"))
@@ -64,8 +70,8 @@ def short2(spark: SparkSession, sf: str) -> Vector:
 SQL = {
     "raw": "SELECT l_suppkey AS i, l_partkey AS j, CAST(l_quantity AS BIGINT) AS v FROM lineitem",
     "a": "SELECT l_suppkey AS i, l_partkey AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2",
-    "q": "SELECT l_orderkey % 48 AS i, l_partkey % 48 AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_linenumber = 5 GROUP BY 1, 2",
-    "r": "SELECT l_orderkey % 48 AS i, l_suppkey % 48 AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_linenumber = 6 GROUP BY 1, 2",
+    "q": "SELECT l_orderkey % 48 AS i, l_partkey % 48 AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2",
+    "r": "SELECT l_orderkey % 48 AS i, l_suppkey % 48 AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2",
     "x": "SELECT p_partkey AS i, CAST(p_size AS BIGINT) AS v FROM part",
     "n": "SELECT s_suppkey AS i, CAST(s_nationkey + 1 AS BIGINT) AS v FROM supplier",
     "u": "SELECT p_partkey % 48 AS i, CAST(sum(CAST(p_size AS BIGINT)) AS BIGINT) AS v FROM part GROUP BY 1",

@@ -18,6 +18,8 @@ from matrel.relation import Matrix
 
 #: Stored entries up to which a matrix is brought into memory.
 LOCAL_ENTRIES = 2_000_000
+#: Numbers in a work vector at most: 400 MB.
+VECTOR_ENTRIES = 50_000_000
 
 
 class Csr:
@@ -97,10 +99,13 @@ class Local:
 class Distributed:
     """The relation stays on the executors; each product joins nothing: the vector (one number a row) is broadcast and partial sums come back.
 
-    The vector must fit in a task's memory, which ``choose`` checks.
+    The vector must fit in a task's memory and in the driver's, as a solver's work vectors do: dimensions over ``VECTOR_ENTRIES`` are refused
+    (``products.mult`` has no such bound, as both its sides are relations).
     """
 
     def __init__(self, a: Matrix):
+        if max(a.shape) > VECTOR_ENTRIES:
+            raise ValueError(f"work vectors of {max(a.shape)} numbers are over the bound of {VECTOR_ENTRIES}")
         self.shape = a.shape
         self.df = a.df.select("i", "j", F.col("v").cast("double").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -135,8 +140,10 @@ class Function:
         self.adjoint = adjoint or apply
 
 
-def to_csr(a: Matrix) -> Csr:
-    """The whole relation on the driver, as compressed rows: for sizes known to be small."""
+def to_csr(a: Matrix, checked: bool = False) -> Csr:
+    """The whole relation on the driver, as compressed rows. Unless its size is ``checked``, more than ten times ``LOCAL_ENTRIES`` entries are refused."""
+    if not checked and a.size > 10 * LOCAL_ENTRIES and a.df.limit(10 * LOCAL_ENTRIES + 1).count() > 10 * LOCAL_ENTRIES:
+        raise ValueError(f"more than {10 * LOCAL_ENTRIES} entries don't come to the driver")
     got = a.df.select("i", "j", "v").toArrow()
     v = got.column("v")
     if pa.types.is_struct(v.type):
@@ -152,5 +159,5 @@ def choose(a: Matrix | Csr | np.ndarray, entries: int = LOCAL_ENTRIES):
     if not isinstance(a, Matrix):
         return a if hasattr(a, "apply") else Local(a)
     if a.df.limit(entries + 1).count() <= entries:
-        return Local(to_csr(a))
+        return Local(to_csr(a, checked=True))
     return Distributed(a)

@@ -6,10 +6,8 @@ line come to the driver.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from matrel.relation import Matrix
 
@@ -109,9 +107,10 @@ def _number(v: str = "v"):
     return F.format_string("%.16e", F.col(v).cast("double"))
 
 
-def _write(lines: DataFrame, path: str) -> None:
-    """One text file part, lines in the order of ``at``: the format is one stream. ``at`` is unique, so nothing depends on the split."""
-    lines.orderBy("at").select("value").coalesce(1).write.mode("overwrite").text(path)
+def _write(lines: DataFrame, path: str, compression: str | None = None) -> None:
+    """Text file parts that, by name, are the format's one stream: lines sorted by ``at``, which is unique, over all parts. No task sees more than
+    its range."""
+    lines.orderBy("at").select("value").write.mode("overwrite").text(path, compression=compression)
 
 
 def _with_head(a: Matrix, head: list[str], body: DataFrame) -> DataFrame:
@@ -126,64 +125,10 @@ def mm_write(a: Matrix, path: str) -> None:
     _write(_with_head(a, ["%%MatrixMarket matrix array real general", f"{a.nrows} {a.ncols}"], body), path)
 
 
-def mm_write_sparse(a: Matrix, path: str) -> None:
-    """Coordinate layout, from 1, row by row."""
+def mm_write_sparse(a: Matrix, path: str, compression: str | None = None) -> None:
+    """Coordinate layout, from 1, row by row; ``compression`` as Spark names it (gzip)."""
     body = a.df.select((F.col("i") * a.ncols + F.col("j")).alias("at"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, _number()).alias("value"))
-    _write(_with_head(a, ["%%MatrixMarket matrix coordinate real general", f"{a.nrows} {a.ncols} {a.df.count()}"], body), path)
-
-
-class MatrixMarketSource(DataSource):
-    """``spark.read.format("mtx").load(path)``: triplets ``i, j, v`` of a local or mounted file, from 0, symmetric ones mirrored, as stored."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "mtx"
-
-    def schema(self) -> str:
-        return "i long, j long, v double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition):
-        import gzip
-
-        with (gzip.open if self.path.endswith(".gz") else open)(self.path, "rt") as file:
-            coordinate, symmetric = parse_banner(next(file))
-            body = (x.split() for x in file if x.strip() and not x.startswith("%"))
-            rows = int(next(body)[0])
-            k = 0
-            for parts in body:
-                if coordinate:
-                    i, j, v = int(parts[0]) - 1, int(parts[1]) - 1, float(parts[2])
-                    yield i, j, v
-                    if symmetric and i != j:
-                        yield j, i, v
-                    continue
-                for x in parts:
-                    if symmetric:
-                        j = int(np.floor(((2 * rows + 1) - np.sqrt((2 * rows + 1) ** 2 - 8 * k)) / 2))
-                        i = k - (j * rows - j * (j - 1) // 2) + j
-                    else:
-                        i, j = k % rows, k // rows
-                    k += 1
-                    if float(x) != 0:
-                        yield i, j, float(x)
-                        if symmetric and i != j:
-                            yield j, i, float(x)
-
-
-def register(spark: SparkSession) -> None:
-    """Makes the ``mtx`` format known to a session."""
-    spark.dataSource.register(MatrixMarketSource)
+    _write(_with_head(a, ["%%MatrixMarket matrix coordinate real general", f"{a.nrows} {a.ncols} {a.df.count()}"], body), path, compression)
 
 
 #: Published 2-norm condition numbers of the named test matrices. Fixed values.

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrel.relation import Matrix, Vector
@@ -44,15 +45,28 @@ def read_sparse(spark: SparkSession, path: str, nrows: int, ncols: int) -> Matri
     return Matrix(out.groupBy("i", "j").agg(F.sum("v").alias("v")), nrows, ncols)
 
 
-def dense_lines(a: Matrix, delimiter: str = ",", number: str = "%s") -> DataFrame:
+def general(v: Column, digits: int = 6) -> Column:
+    """A number as C's ``%g`` and its streams print it: so many significant digits, no zeros at the end, an exponent below 1e-4 and from 1e``digits``."""
+    v = v.cast("double")
+    parts = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
+    power = F.get(parts, 1).cast("int")
+    short = lambda x: F.regexp_replace(x, r"(\.\d*?)0+$", "$1")
+    bare = lambda x: F.regexp_replace(short(x), r"\.$", "")
+    plain = bare(F.concat_ws("e", F.get(parts, 0), F.get(parts, 1)).cast(f"decimal(38,{digits + 4})").cast("string"))
+    sign = F.when(v < 0, "-").otherwise("")
+    odd = F.when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.concat(sign, F.lit("inf"))).when(v == 0, "0")
+    return odd.when((power < -4) | (power >= digits), F.concat(bare(F.get(parts, 0)), F.lit("e"), F.get(parts, 1))).otherwise(plain)
+
+
+def dense_lines(a: Matrix, delimiter: str = ",", number: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows ``i, line``."""
     rows = a.dense().df.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r"))
-    return rows.select("i", F.array_join(F.transform("r", lambda x: F.format_string(number, x["v"]) if number != "%s" else x["v"].cast("string")), delimiter).alias("line"))
+    return rows.select("i", F.array_join(F.transform("r", lambda x: number(x["v"]) if number else x["v"].cast("string")), delimiter).alias("line"))
 
 
 def write_dense(a: Matrix, path: str, delimiter: str = ",") -> None:
-    """Delimited rows, in order, as one text file part."""
-    dense_lines(a, delimiter).orderBy("i").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Delimited rows, sorted over the text file parts; no task sees more than its range."""
+    dense_lines(a, delimiter).orderBy("i").select("line").write.mode("overwrite").text(path)
 
 
 def write_sparse(a: Matrix, path: str) -> None:
@@ -63,8 +77,8 @@ def write_sparse(a: Matrix, path: str) -> None:
 def print_lines(a: Matrix | Vector) -> DataFrame:
     """Rows as text with six significant digits, as a stream would print them."""
     if isinstance(a, Vector):
-        return a.dense().df.select("i", F.format_string("%.6g", F.col("v").cast("double")).alias("line"))
-    return dense_lines(Matrix(a.df.select("i", "j", F.col("v").cast("double").alias("v")), *a.shape), " ", "%.6g")
+        return a.dense().df.select("i", general(F.col("v")).alias("line"))
+    return dense_lines(Matrix(a.df.select("i", "j", F.col("v").cast("double").alias("v")), *a.shape), " ", general)
 
 
 def print_sparse(a: Matrix) -> DataFrame:

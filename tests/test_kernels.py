@@ -181,3 +181,68 @@ def test_eigenvalues():
 def test_multigrid_needs_levels():
     with pytest.raises(ValueError):
         Multigrid([Csr.from_dense(np.eye(3))], [], [], None, None)
+
+
+def test_supernodal_factors():
+    from matrel.kernels import ordering, sparse, supernodal
+
+    rng = np.random.default_rng(11)
+    for n in (1, 5, 40):
+        a = rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.2) + np.diag(rng.normal(size=n) + 1e-3)
+        b = rng.normal(size=n)
+        own = Csr.from_dense(a)
+        if np.linalg.cond(a) < 1e8:
+            lu = supernodal.SupernodalLu(own)
+            assert np.allclose(a @ lu.solve(b), b, atol=1e-7)
+            other = Csr(*own.shape, own.rows, own.idx, own.val * rng.uniform(0.9, 1.1, len(own.val)))
+            again = lu.refactor(other)
+            assert np.allclose(other @ again.solve(b), b, atol=1e-5)
+            lu.refactor_in_place(other)
+            assert (lu.solve(b) == again.solve(b)).all()
+            zero = Csr(*own.shape, own.rows, own.idx, own.val * 0)
+            with pytest.raises(np.linalg.LinAlgError):
+                lu.refactor_in_place(zero)
+            assert (lu.solve(b) == again.solve(b)).all()
+        s = a + a.T + np.diag(np.full(n, 10.0))
+        own = Csr.from_dense(s)
+        ldlt, plain = supernodal.SupernodalLdlt(own), sparse.SparseLdlt(own)
+        assert np.allclose(s @ ldlt.solve(b), b)
+        assert np.allclose(ldlt.d, plain.d) and len(ldlt.panels) <= n
+        assert np.allclose(ldlt.solve_refined(own, b), np.linalg.solve(s, b))
+    with pytest.raises(np.linalg.LinAlgError):
+        supernodal.SupernodalLdlt(Csr.from_dense(np.array([[0.0, 1.0], [1.0, 0.0]])))
+    block = Csr.from_dense(np.ones((6, 6)) + 6 * np.eye(6))
+    assert len(supernodal.SupernodalLdlt(block, None).panels) == 1 and len(supernodal.SupernodalLu(block, None).panels) == 1
+
+
+def test_leaves_of_rows():
+    from matrel.kernels import ordering
+
+    rng = np.random.default_rng(12)
+    a = (rng.random((25, 25)) < 0.1) | np.eye(25, dtype=bool)
+    own = Csr.from_dense((a | a.T).astype(float))
+    parent = ordering.elimination_tree(own)
+    post = ordering.postorder(parent)
+    own = own.permuted(post, post)
+    parent = ordering.elimination_tree(own)
+    # each row's subtree is the union of the paths from its leaves up to the row
+    for i in range(25):
+        nodes = set()
+        for r, j, kind, up in ordering.row_leaves(own, parent):
+            if r == i:
+                while j != i and j >= 0:
+                    nodes.add(j)
+                    j = int(parent[j])
+        assert sorted(nodes) == ordering.row_pattern(own, parent, i)
+
+
+def test_sparse_accumulator():
+    from matrel.kernels.sparse import SparseAccumulator
+
+    own = SparseAccumulator(8)
+    own.scatter([3, 3, 5], [1.0, 2.0, 4.0])
+    assert (own[3], own[5], own[0], own.nnz()) == (3.0, 4.0, 0.0, 2)
+    own.clear()
+    own.store(5, 9.0)
+    own.scatter(5, 1.0)
+    assert (own[5], own[3], own.is_set(3), own.indices().tolist()) == (10.0, 0.0, False, [5])
