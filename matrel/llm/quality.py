@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matrel.llm import _words
 from matrel.llm._io import table
@@ -22,6 +23,8 @@ from matrel.llm._labels import held_out, training_rows
 #: The statistics of a text, all shares and means, so that none grows with its length but the logarithms.
 STATISTICS = ("log_words", "word_length", "upper", "symbol", "digit", "exclaim", "bar", "repeat", "distinct", "top_word", "line_words", "stop", "log_bytes")
 TREES, DEPTH, CUTS = 40, 3, 24
+#: Labelled rows each tree is grown on, drawn anew from the bounded sample that is learned from.
+RESAMPLE = 4000
 _SEED = 71
 
 _UPPER, _LETTER, _DIGIT, _SYMBOL = (np.zeros(256, bool) for _ in range(4))
@@ -171,7 +174,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 5e-4) -> RuleEnsemb
     rules: dict[Rule, None] = {}
     bins, cuts = _binned(x)
     for _ in range(TREES):
-        rows = rng.choice(len(y), min(len(y), 4000))
+        rows = rng.choice(len(y), min(len(y), RESAMPLE))
         for rule in _paths(bins[rows], cuts, y[rows], rng, DEPTH, ()):
             rules[rule] = None
     kept = list(rules)
@@ -205,9 +208,18 @@ def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", key: str = "
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``least``. A null text counts as empty."""
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    out = score(docs.select(row.alias("row"), F.col(text).alias("text")), model, "text", "row").where(F.col("score") >= least)
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rest = F.struct(F.lit(True).alias("there"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _words.slices(whole, "text"):
+                x = text_statistics(batch.column(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1])]], names=["rest", "text", *STATISTICS])
+
+    # each text goes to Python once; the rules are column expressions
+    rows = docs.select(rest.alias("rest"), F.col(text).alias("text"))
+    out = rows.mapInArrow(_words.tidy(run), T.StructType([*rows.schema.fields, *[T.StructField(s, T.DoubleType()) for s in STATISTICS]])).where(model.column() >= least)
+    return out.select(*[(F.col("text") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,9 +218,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def keep_clean(docs: DataFrame, model: Toxicity, text: str = "text", most: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below ``most``. A null text counts as empty."""
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    out = score(docs.select(row.alias("row"), F.col(text).alias("text")), model, "text", "row").where(F.col("score") < most)
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rest = F.struct(F.lit(True).alias("there"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _words.slices(whole, "text"):
+                best, n, _, _ = _scored(model, batch.column(1))
+                yield batch.filter(pa.array(model.chance(best, n) < most))
+
+    # each text goes to Python once, and back only if it stays
+    rows = docs.select(rest.alias("rest"), F.col(text).alias("text"))
+    out = rows.mapInArrow(_words.tidy(run), rows.schema)
+    return out.select(*[(F.col("text") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text", key: str = "doc_id") -> DataFrame:
