@@ -186,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
 
 def _rate(share: float, odds: np.ndarray) -> float:
-    """lambda > 0 with E[exp(lambda * score)] = 1 over the words of clean texts, a share of which has positive scores."""
+    """lambda > 0 with E[exp(lambda * score)] = 1 over the words of clean texts, a share of which has positive scores.
+
+    It is 1, as for exact log-odds, where there is no such root: without positive scores, or if their mean isn't negative.
+    """
     if not len(odds) or share <= 0:
         return 1.0
     low, high = 1e-3, 1.0
@@ -198,7 +201,7 @@ def _rate(share: float, odds: np.ndarray) -> float:
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if value(mid) < 0 else (low, mid)
-    return min(1.0, low)
+    return low
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:

@@ -51,3 +51,21 @@ def test_fields_stay_variable_at_every_size(spark):
     texts += ["\n".join([words(rnd, 15), rare]) for _ in range(8)]
     got = left(spark, texts)
     assert all(len(x) == 1 for x in got.values())
+
+
+def test_longer_lines_need_fewer_groups(spark):
+    rnd = random.Random(8)
+    short, ordinary, long, passage = (words(rnd, n) for n in (3, 12, 30, 60))
+    two = words(rnd, 2)
+    plan = [(two, 30), (short, 12), (words(rnd, 4), 9), (ordinary, 5), (words(rnd, 12), 4), (long, 3), (words(rnd, 30), 2), (passage, 2)]
+    gone = {short, ordinary, long, passage}
+    texts = [[words(rnd, 40)] for _ in range(40)]
+    for line, n in plan:
+        for k in rnd.sample(range(40), n):
+            texts[k].append(line)
+    texts = ["\n".join([*x, words(rnd, 40)]) for x in texts]
+    own = words(rnd, 55)
+    texts.append("\n".join([own, words(rnd, 70)]))
+    texts += [texts[-1] + " x"] * 3 + [texts[-1] + " y z"]  # near copies share a passage and keep it
+    got = left(spark, texts)
+    assert all(got[k] == [x for x in t.split("\n") if x not in gone] for k, t in enumerate(texts))
