@@ -551,3 +551,54 @@ def _tall_qr(s: SparkSession, sf: str) -> DataFrame:
 
 
 add("tall_qr", _tall_qr, "SELECT i, j, CAST(round(1000 * sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE))) AS BIGINT) AS v FROM embeddings, range(64) t(i), range(64) s(j) GROUP BY 1, 2")
+
+
+# Larger ones, for timing
+
+_LARGE = 1025
+
+
+def _large(s: SparkSession, sf: str, column: str) -> Matrix:
+    """All quantities folded to 1025 x 1025."""
+    rows = fx.table(s, sf, "lineitem").select((F.col("l_orderkey") % _LARGE).alias("i"), (F.col(column) % _LARGE).alias("j"), F.col("l_quantity").cast("bigint").alias("v"))
+    return Matrix(rows.groupBy("i", "j").agg(F.sum("v").alias("v")), _LARGE, _LARGE)
+
+
+_folded = lambda column: f"(SELECT l_orderkey % {_LARGE} AS i, {column} % {_LARGE} AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2)"
+add(
+    "gemm_1025",
+    lambda s, sf: products.matmul_blocks(_large(s, sf, "l_partkey"), _large(s, sf, "l_suppkey"), 256).df.where("v <> 0").select("i", "j", F.col("v").cast("bigint").alias("v")),
+    f"SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {_folded('l_partkey')} a JOIN {_folded('l_suppkey')} b ON a.j = b.i GROUP BY 1, 2",
+)
+
+
+def _dense_1025(solve: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Query:
+    """One system with a strong diagonal, in one task, for the solution ``i % 97 + 1``."""
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        a = a + a.T + 1e6 * np.eye(_LARGE)
+        return np.round(1000 * solve(a, a @ (np.arange(_LARGE) % 97 + 1.0)))[:, None]
+
+    def run(s: SparkSession, sf: str) -> DataFrame:
+        a = _large(s, sf, "l_partkey").df.withColumn("id", F.lit(0).cast("long"))
+        return grouped.map_elements(a, _LARGE, _LARGE, kernel).select("i", F.col("v").cast("bigint").alias("v"))
+
+    return run
+
+
+for _name, _f in {
+    "lu_1025": dense.lu_apply,
+    "cholesky_1025": lambda a, b: dense.cholesky_solve(dense.cholesky_factor(a)[0], b),
+    "qr_1025": dense.qr_solve,
+}.items():
+    add(_name, _dense_1025(_f), f"SELECT i, 1000 * (i % 97 + 1) AS v FROM range({_LARGE}) t(i)")
+
+
+def _cg_10000(s: SparkSession, sf: str) -> DataFrame:
+    a = gen.laplacian_2d(s, 100, 100)
+    b = products.mult(a, _truth(s, sf, 10_000)).to_numpy()
+    x, code = krylov.cg(a, b, it=Iteration(float(np.linalg.norm(b)), 5000, 1e-12))
+    return _numbers(s, x, code=code)
+
+
+add("cg_10000", _cg_10000, _known(10_000, _code))

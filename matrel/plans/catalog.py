@@ -374,7 +374,7 @@ add("tensor_lower", lambda s, sf: tensors.lower(tensors.relation(s, [[-1, 0], [0
 
 _flipped = lambda s: tensors.relation(s, [[(-1 if i == 0 else 1) * (i == j) for j in range(48)] for i in range(48)], "i", "j")
 for _name, _f, _axis in (("lower_first", tensors.lower_first, "i"), ("lower_second", tensors.lower_second, "j"), ("raise_first", tensors.raise_first, "i"), ("raise_second", tensors.raise_second, "j")):
-    add(f"tensor_{_name}", (lambda f: lambda s, sf: f(_flipped(s), fx.square(s, sf).df.select("i", "j", F.col("v").cast("double").alias("v"))))(_f), f"SELECT i, j, CASE WHEN {_axis} = 0 THEN -CAST(v AS DOUBLE) ELSE CAST(v AS DOUBLE) END AS v FROM q")
+    add(f"tensor_{_name}", (lambda f: lambda s, sf: f(_flipped(s), fx.square(s, sf).df.select("i", "j", F.col("v").cast("double").alias("v"))).where("v <> 0"))(_f), f"SELECT i, j, CASE WHEN {_axis} = 0 THEN -CAST(v AS DOUBLE) ELSE CAST(v AS DOUBLE) END AS v FROM q WHERE v <> 0")
 add("tensor_metrics", lambda s, sf: s.range(16).select(F.expr("id div 4").alias("i"), (F.col("id") % 4).alias("j"), *[F.get(F.get(m, F.expr("int(id div 4)")), F.expr("int(id % 4)")).alias(n) for n, m in (("euclidean", tensors.euclidean_metric(4)), ("minkowski", tensors.minkowski_metric()))]), "SELECT i, j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS euclidean, CAST(CASE WHEN i <> j THEN 0 WHEN i = 0 THEN -1 ELSE 1 END AS DOUBLE) AS minkowski FROM range(4) a(i), range(4) b(j)")
 
 # Recursion and accumulation

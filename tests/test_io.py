@@ -39,7 +39,6 @@ def test_matrix_market(spark, tmp_path):
     last = want.copy()
     last[0, 1] = last[1, 0] = -1
     assert (M.mm_read_dense(spark, str(tmp_path / "a.mtx")).to_numpy() == last).all()
-    M.register(spark)
 
 
 @pytest.mark.parametrize("head", ["%%MatrixMarket matrix array real general", "%%MatrixMarket matrix array real symmetric"])
