@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matrel.llm import _words, minhash
 from matrel.llm._io import table, written
@@ -44,6 +45,9 @@ BITMAP = 1 << 20, 1 << 28
 _PART = 1 << 15
 #: Into how many parts a recurring line's rows are dealt where they are looked up, so that one that stands everywhere isn't one task's.
 SALTS = 16
+#: Recurring kinds up to which they are sent to all tasks, 16 MB at most, and lines are cut where the texts are; with more, the texts are joined
+#: with their lines. The answer is the same.
+KINDS = 1 << 21
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
 _LEVELS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
@@ -71,6 +75,15 @@ class _Lines:
             key[has] += self.token[self.first[:-1][has] + k] * _LEVELS[1 + k]
         self.leaf = _words.mix64(key)
 
+    def kinds(self, rows: np.ndarray) -> np.ndarray:
+        """A hash of all tokens, in their places, of each of these lines, and of their leaf."""
+        n = self.count[rows]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        nth = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+        token = self.token[np.repeat(self.first[:-1][rows], n) + nth]
+        mixed = np.concatenate([[np.uint64(0)], np.cumsum(_words.mix64(token + nth.astype(np.uint64) * _LEVELS[0]))])
+        return _words.mix64((mixed[ends[1:]] - mixed[ends[:-1]]) ^ self.leaf[rows])
+
 
 def needed(n: int, least: int = LEAST) -> int:
     """Copy groups in which a template of ``n`` tokens must stand."""
@@ -120,7 +133,7 @@ def _bitmap(leaves: DataFrame) -> bytes:
 
 
 def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
-    """Rows ``id, mark, line, leaf, n, tokens`` for the lines whose leaf has its bit set."""
+    """Rows ``id, mark, line, leaf, same, n, tokens`` for the lines whose leaf has its bit set; ``same`` is the hash of the line's kind."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -137,9 +150,9 @@ def _candidates(rows: DataFrame, bits: bytes) -> DataFrame:
                 place = np.repeat(found.first[:-1][hit] - offsets[:-1], n) + np.arange(offsets[-1])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.token[place].view(np.int64)))
                 doc = pa.array(found.doc[hit])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(found.line[hit].astype(np.int32)), pa.array(found.leaf[hit].view(np.int64)), pa.array(n.astype(np.int32)), tokens], names=["id", "mark", "line", "leaf", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(found.line[hit].astype(np.int32)), pa.array(found.leaf[hit].view(np.int64)), pa.array(found.kinds(hit).view(np.int64)), pa.array(n.astype(np.int32)), tokens], names=["id", "mark", "line", "leaf", "same", "n", "tokens"])
 
-    return rows.mapInArrow(_words.tidy(run), f"id {kind}, mark long, line int, leaf long, n int, tokens array<long>")
+    return rows.mapInArrow(_words.tidy(run), f"id {kind}, mark long, line int, leaf long, same long, n int, tokens array<long>")
 
 
 def copy_groups(rows: DataFrame) -> DataFrame:
@@ -178,16 +191,11 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     return components(linked.select(F.col("mark").alias("a"), F.col("group").alias("b"))).select(F.col("id").alias("mark"), F.col("component_id").alias("group"))
 
 
-def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows ``id, mark, line, template``: the lines of which a template recurs, each once, with the least such template.
-
-    ``mark`` is the text's hash, ``line`` counts from 0. Null and empty texts have no lines here; null keys are allowed; rows with equal
-    key and text are one; an empty table gives none.
-    """
-    rows = _rows(docs, text, key)
+def _recurring(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate lines ``id, mark, line, leaf, same, ..``, recurring kinds ``leaf, same, template``)."""
     groups = copy_groups(rows)
     leaves = written(_leaves(rows, groups, least), "leaves")
-    lines = _candidates(rows, _bitmap(leaves)).join(leaves, "leaf", "left_semi").withColumn("same", F.xxhash64("tokens"))
+    lines = _candidates(rows, _bitmap(leaves)).join(leaves, "leaf", "left_semi")
     lines = written(lines, "lines")
     # From here on a line is one of its kind: those of a leaf with the same tokens, with the copy groups it stands in.
     held = written(_grouped(lines.select("leaf", "same", "mark").distinct(), groups).distinct(), "held")
@@ -209,7 +217,20 @@ def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key
     may = named.groupBy("leaf", "template").agg(F.sum("groups").alias("groups"), F.max("n").alias("n")).where(F.col("groups") >= _needed(least)).select("leaf", "template")
     each = held.join(named.join(may, ["leaf", "template"], "left_semi").select("leaf", "same", "n", "template"), ["leaf", "same"]).select("leaf", "template", "n", "group").distinct()
     recurring = each.groupBy("leaf", "template").agg(F.count("group").alias("groups"), F.max("n").alias("n")).where(F.col("groups") >= _needed(least)).select("leaf", "template")
-    found = written(named.join(recurring, ["leaf", "template"]).groupBy("leaf", "same").agg(F.min("template").alias("template")), "recurring")
+    return lines, written(named.join(recurring, ["leaf", "template"]).groupBy("leaf", "same").agg(F.min("template").alias("template")), "recurring")
+
+
+def recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows ``id, mark, line, template``: the lines of which a template recurs, each once, with the least such template.
+
+    ``mark`` is the text's hash, ``line`` counts from 0. Null and empty texts have no lines here; null keys are allowed; rows with equal
+    key and text are one; an empty table gives none.
+    """
+    return _found_in(*_recurring(_rows(docs, text, key), least))
+
+
+def _found_in(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """The candidate lines of recurring kinds."""
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.select("id", "mark", "line", "leaf", "same", F.pmod(F.xxhash64("id", "line"), F.lit(SALTS)).cast("int").alias("salt"))
     return salted.join(found, ["leaf", "same", "salt"]).select("id", "mark", "line", "template")
@@ -223,18 +244,69 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text"
     have no lines, an empty text has one. Rows with equal key and text are treated alike, each as one document; null keys are
     allowed. An empty table gives an empty one.
     """
-    found = recurring_lines(docs, least, text, key)
-    drops = written(found.groupBy("id", "mark").agg(F.sort_array(F.collect_set("line")).alias("lines")), "drops")
-    names = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    lines, found = _recurring(_rows(docs, text, key), least)
+    kinds = found.select("same").limit(KINDS + 1).toArrow().column(0).to_numpy()
+    return _cut(docs, np.sort(kinds.view(np.uint64)), text) if len(kinds) <= KINDS else _joined(docs, _found_in(lines, found), text, key)
+
+
+def _out(docs: DataFrame, text: str) -> list[Column]:
+    """The columns of the result, from ``rest``, ``text``, ``n_lines`` and ``n_dropped``."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return [(F.col("text") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in names] + [F.col("n_lines"), F.col("n_dropped")]
+
+
+def _rest(docs: DataFrame, text: str) -> Column:
+    return F.struct(F.lit(True).alias("there"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
+
+
+def _cut(docs: DataFrame, kinds: np.ndarray, text: str) -> DataFrame:
+    """Lines of the given kinds (ascending hashes) taken out where the texts are: no text is moved."""
+    held = docs.sparkSession.sparkContext.broadcast(kinds.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(held.value, np.uint64)
+        # most lines miss this small table and aren't looked up
+        sieve = np.zeros(1 << 16, bool)
+        sieve[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+        for whole in batches:
+            for batch in _words.slices(whole, "text"):
+                off, data = _words.string_buffer(batch.column(1))
+                breaks = np.concatenate([[0], np.cumsum(data == 10)])
+                valid = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+                n_lines = np.where(valid, np.diff(breaks[off]) + 1, 0)
+                lines = _Lines(batch.column(1))
+                rows = np.flatnonzero(lines.count >= TOKENS)
+                same = lines.kinds(rows)
+                maybe = np.flatnonzero(sieve[(same & np.uint64(0xFFFF)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(known, same[maybe]), max(len(known) - 1, 0))
+                hit = rows[maybe[known[at] == same[maybe]]] if len(known) else rows[:0]
+                dropped = np.bincount(lines.doc[hit], minlength=batch.num_rows)
+                out = batch.column(1)
+                if len(hit):
+                    texts = out.to_pylist()
+                    for d in np.flatnonzero(dropped).tolist():
+                        gone = set(lines.line[hit[lines.doc[hit] == d]].tolist())
+                        texts[d] = "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone)
+                    out = pa.array(texts, out.type)
+                yield pa.RecordBatch.from_arrays([batch.column(0), out, pa.array(n_lines.astype(np.int32)), pa.array(dropped.astype(np.int32))], names=["rest", "text", "n_lines", "n_dropped"])
+
+    rows = docs.select(_rest(docs, text), F.col(text).alias("text"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())])
+    return rows.mapInArrow(_words.tidy(run), schema).select(*_out(docs, text))
+
+
+def _joined(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """The same by a join of the texts with their recurring lines, for any number of kinds."""
+    drops = written(found.groupBy("id", "mark").agg(F.collect_set("line").alias("lines")), "drops")
+    marked = docs.select(_rest(docs, text), F.col(text).alias("text"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
     joined = marked.join(drops.select(F.col("id").alias("id_d"), F.col("mark").alias("mark_d"), "lines"), F.col("id").eqNullSafe(F.col("id_d")) & (F.col("mark") == F.col("mark_d")), "left")
-    parts = F.split(F.col(f"row.`{text}`"), "\n", -1)
+    parts = F.split("text", "\n", -1)
     # what is left by number, then looked up: both take a step a line. The array of one keeps the parts from being split anew each time
     left = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("lines"))
     kept = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(left(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
-    out = joined.select("row", F.when(F.col("lines").isNotNull(), kept).otherwise(F.col(f"row.`{text}`")).alias("new"), F.when(F.col(f"row.`{text}`").isNotNull(), F.size(parts)).otherwise(0).alias("n_lines"), F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).alias("n_dropped"))
-    rest = [c for c in names if c not in ("n_lines", "n_dropped")]
-    return out.select(*[(F.col("new") if c == text else F.col(f"row.`{c}`")).alias(c) for c in rest], "n_lines", "n_dropped")
+    n_lines = F.when(F.col("text").isNotNull(), F.size(parts)).otherwise(0).alias("n_lines")
+    out = joined.select("rest", F.when(F.col("lines").isNotNull(), kept).otherwise(F.col("text")).alias("text"), n_lines, F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).alias("n_dropped"))
+    return out.select(*_out(docs, text))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,14 @@ def _sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def _texts(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``own`` with an id of ``ids``, so that only these are moved by later joins.
+
+    The ids are written first: if they are few, Spark knows it from the table and doesn't shuffle the texts at all.
+    """
+    return written(own.join(written(ids.select("id").distinct(), "needed"), "id", "left_semi"), "texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the threshold: 100 * intersection >= percent * union.
 
@@ -165,16 +173,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                others = batch.column(2)[k].values
-                (own,) = _sets_of(batch.column(1).slice(k, 1), words)
-                keep = pa.array([_reach(own, x, percent) for x in _sets_of(others.field("text"), words)], pa.bool_())
-                found = others.field("b").filter(keep)
+                others = batch.column(1)[k].values
+                made, names = _sets_of(others.field("text"), words), others.field("b")
+                own = [x for x, real in zip(made, names.is_valid().to_pylist(), strict=True) if not real]
+                keep = [any(_reach(x, y, percent) for x in own) if real else False for y, real in zip(made, names.is_valid().to_pylist(), strict=True)]
+                found = names.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(found), pa.int32())), found], names=["a", "b"])
 
     dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("b") / PARTNERS).alias("parts")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     text = F.coalesce("text", F.lit("")).alias("text")
-    met = dealt.join(docs.select(F.col("id").alias("b"), text), "b").groupBy("a", "part").agg(F.collect_list(F.struct("b", "text")).alias("others"))
-    both = met.join(docs.select(F.col("id").alias("a"), text), "a").select("a", "text", "others")
+    # the part's text a is one more row of the part, so all meet in one shuffle
+    first = dealt.select("a", "part").distinct().join(docs.select(F.col("id").alias("a"), text), "a").select("a", "part", F.lit(None).cast(kind).alias("b"), "text")
+    rest = dealt.join(docs.select(F.col("id").alias("b"), text), "b").select("a", "part", "b", "text")
+    both = rest.unionByName(first).groupBy("a", "part").agg(F.collect_list(F.struct("b", "text")).alias("others")).select("a", "others")
     return both.mapInArrow(_words.tidy(run), f"a {kind}, b {kind}")
 
 
@@ -302,7 +313,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     company = written(met.join(firsts, "key"), "company")
     stars = company.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     likely = written(_likely(stars, reps, threshold), "likely")
-    linked = written(_verified(likely, own, words, percent), "verified", heavy=True)
+    texts = _texts(own, likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))))
+    linked = written(_verified(likely, texts, words, percent), "verified", heavy=True)
     # The classes that one key's texts belong to are one document: linked through the least.
     member = written(whole.join(classes, ["h1", "h2", "n_shingles"]).select("id", "rep").distinct(), "members")
     least = written(member.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")), "least")
@@ -315,7 +327,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     several = placed.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("id").alias("n")).where("low <> high AND n > 2").select("key")
     open_ = written(placed.join(written(several, "several"), "key", "left_semi"), "open")
     if open_.head(1):
-        further = _block_links(open_.join(reps, "id").join(own, "id"), words, percent)
+        further = _block_links(open_.join(reps, "id").join(_texts(own, open_), "id"), words, percent)
         # what is connected already stands for the links that connected it
         further = written(further, "further", heavy=True)
         found = written(components(further.unionByName(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "components")

@@ -97,7 +97,9 @@ def corpus():
     return list(enumerate(texts))
 
 
-def test_lines_as_defined(spark, corpus):
+@pytest.mark.parametrize("most", [lines.KINDS, 0])
+def test_lines_as_defined(spark, corpus, monkeypatch, most):
+    monkeypatch.setattr(lines, "KINDS", most)  # 0: by the join
     want = brute_lines(corpus, lines.LEAST, brute_groups(t for _, t in corpus))
     assert len(want) > 20
     df = spark.createDataFrame([(d, t, "x") for d, t in corpus], "doc_id long, text string, n_lines string")
