@@ -16,22 +16,22 @@ def words(rnd, n):
 
 def test_near_duplicates_of_long_texts(spark):
     rnd = random.Random(21)
-    long = words(rnd, 120_000)
+    long = words(rnd, 40_000)
     near = list(long)
     for k in range(0, len(near), 60):  # five of sixty shingles: similarity about 0.85
         near[k] = "x"
-    texts = [" ".join(long), " ".join(near), " ".join(words(rnd, 120_000)), " ".join(long[:3000])]
+    texts = [" ".join(long), " ".join(near), " ".join(words(rnd, 40_000)), " ".join(long[:3000])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
-    assert got[0] == (119_996, 0) and got[1][1] == 0 and got[2][1] == 2 and got[3] == (2996, 3)
+    assert got[0] == (39_996, 0) and got[1][1] == 0 and got[2][1] == 2 and got[3] == (2996, 3)
 
 
 def test_scores_of_a_long_text(spark):
     rnd = random.Random(22)
-    texts = [" ".join(words(rnd, 300_000)), None, "", "short"]
+    texts = [" ".join(words(rnd, 100_000)), None, "", "short"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = quality.statistics(df).collect()
-    assert len(got) == 4 and {round(float(np.expm1(r["log_words"]))) for r in got} == {300_000, 0, 1}
+    assert len(got) == 4 and {round(float(np.expm1(r["log_words"]))) for r in got} == {100_000, 0, 1}
     model = toxicity.Toxicity(np.zeros(0, np.uint64), np.zeros(0))
     assert toxicity.keep_clean(df, model).count() == 4
     hot = pa.array([" ".join(["fine"] * 50_000 + ["bad"] * 20 + ["fine"] * 50_000)])
@@ -44,7 +44,7 @@ def test_scores_of_a_long_text(spark):
 
 def test_fingerprint_of_a_long_text(spark):
     rnd = random.Random(23)
-    long = words(rnd, 100_000)
+    long = words(rnd, 40_000)
     texts = [" ".join(long), " ".join(long[:-1])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     a, b = (int(r["fingerprint"], 16) for r in fingerprints.edited_fingerprints(df).orderBy("doc_id").collect())
@@ -55,10 +55,10 @@ def test_lines_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(lines, "BITMAP", (1 << 15, 1 << 15))
     rnd = random.Random(24)
     notice = "this notice stands in all of these texts"
-    texts = ["\n".join(x for k in range(20_000 if d == 0 else 3) for x in (" ".join(words(rnd, 4 + k % 3)), notice)) for d in range(6)]
+    texts = ["\n".join(x for k in range(8_000 if d == 0 else 3) for x in (" ".join(words(rnd, 4 + k % 3)), notice)) for d in range(6)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in lines.drop_recurring_lines(df).collect()}
-    assert got[0]["n_lines"] == 40_000 and got[0]["n_dropped"] == 20_000
+    assert got[0]["n_lines"] == 16_000 and got[0]["n_dropped"] == 8_000
     assert all(r["text"] == "\n".join(x for x in texts[d].split("\n") if x != notice) for d, r in got.items())
 
 
