@@ -39,7 +39,7 @@ TOKENS, DEPTH, CONSTANT = 3, 3, 0.7
 SHARES = (0.0, 0.0625, 0.5)
 #: Estimated similarity (of sets of five words in a row) from which a text is in another's copy group.
 ALIKE = 0.5
-#: Least and largest size of the bitmap of leaves, in bits: the only thing sent to all tasks, so at most 32 MB. It has 32 bits
+#: Least and largest size of the bitmap of leaves, in bits, which is sent to all tasks: at most 32 MB. It has 32 bits
 #: a leaf between these; with more leaves than that, more lines are looked up in the table of leaves, and the answer is the same.
 BITMAP = 1 << 20, 1 << 28
 _PART = 1 << 15
@@ -242,7 +242,7 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text"
     Lines end at line feeds. Lines of fewer than ``TOKENS`` tokens are never dropped; ``needed`` says in how many copy groups a longer
     line's template must stand. A text that loses no line stays as it is, one that loses all becomes empty; null texts stay null and
     have no lines, an empty text has one. Rows with equal key and text are treated alike, each as one document; null keys are
-    allowed. An empty table gives an empty one.
+    allowed. An empty table gives an empty one. Kinds of lines are known by 64-bit hashes.
     """
     lines, found = _recurring(_rows(docs, text, key), least)
     kinds = found.select("same").limit(KINDS + 1).toArrow().column(0).to_numpy()
