@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: By application: the folder of our own, where the session names none, and the tables written so far.
 _own: dict[str, str] = {}
 _tables: dict[str, list[str]] = {}
+#: The tables written in the block of this thread that asks for them.
+_block: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("matrel_tables", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,16 +59,38 @@ def written(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     finally:
         spark.conf.set(_PARALLEL, before)
     _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    block = _block.get()
+    if block is not None:
+        block.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths of the intermediate tables that are written in the block."""
+    made: list[str] = []
+    token = _block.set(made)
+    try:
+        yield made
+    finally:
+        _block.reset(token)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables of which nothing is read any more."""
+    held = _tables.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        if path in held:
+            held.remove(path)
+
+
 def discard_tables(spark: SparkSession) -> int:
     """Deletes the intermediate tables this application has written so far and says how many.
 
     For the end of a run, when its results are stored: results that weren't are read from these tables.
     """
-    paths = _tables.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    paths = list(_tables.get(spark.sparkContext.applicationId, []))
+    discard(spark, paths)
     return len(paths)

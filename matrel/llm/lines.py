@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matrel.llm import _words, minhash
-from matrel.llm._io import table, written
+from matrel.llm._io import discard, table, tables_written, written
 from matrel.llm.components import components
 
 #: Copy groups in which a template of ordinary length must stand to recur.
@@ -244,9 +244,13 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST, text: str = "text"
     have no lines, an empty text has one. Rows with equal key and text are treated alike, each as one document; null keys are
     allowed. An empty table gives an empty one. Kinds of lines are known by 64-bit hashes.
     """
-    lines, found = _recurring(_rows(docs, text, key), least)
-    kinds = found.select("same").limit(KINDS + 1).toArrow().column(0).to_numpy()
-    return _cut(docs, np.sort(kinds.view(np.uint64)), text) if len(kinds) <= KINDS else _joined(docs, _found_in(lines, found), text, key)
+    with tables_written() as made:
+        lines, found = _recurring(_rows(docs, text, key), least)
+        kinds = found.select("same").limit(KINDS + 1).toArrow().column(0).to_numpy()
+    if len(kinds) > KINDS:
+        return _joined(docs, _found_in(lines, found), text, key)
+    discard(docs.sparkSession, made)  # the kinds are all that is needed of them
+    return _cut(docs, np.sort(kinds.view(np.uint64)), text)
 
 
 def _out(docs: DataFrame, text: str) -> list[Column]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrel.llm import _words
-from matrel.llm._io import table, written
+from matrel.llm._io import discard, table, tables_written, written
 from matrel.llm.components import components
 
 REGISTERS = 128
@@ -292,6 +292,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     A null key is linked with nothing either: its component is null and it is kept. Rows that share a key are one
     document, linked by any of its texts. An empty table gives an empty one; further columns are ignored.
     """
+    with tables_written() as made:
+        out = _near_duplicates(docs, words, percent, text, key)
+    # all but what the result is read from
+    discard(docs.sparkSession, [p for p in made if not any(f"/matrel-{name}-" in p for name in ("sketches", "least", "components"))])
+    return out
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
     threshold = percent / 100
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     made = written(sketches(own, words, key="id"), "sketches")
