@@ -67,3 +67,5 @@ def _fold(exact: bool):
 
 
 PLAIN = Accumulator()
+#: Whole numbers of up to 38 digits: the sums of products of long elements that long can't hold.
+WHOLE = Accumulator("decimal(38,0)")

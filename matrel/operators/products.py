@@ -108,7 +108,7 @@ def matmul_blocks(a: Matrix, b: Matrix, size: int = 256) -> Matrix:
     return Matrix(parts.groupBy("i", "j").applyInPandas(total, "i long, j long, v double"), nrows, ncols)
 
 
-def chain(*factors: Matrix | Vector) -> Matrix | Vector:
+def chain(*factors: Matrix | Vector, accumulator: Accumulator = PLAIN) -> Matrix | Vector:
     """A product of matrices, of which the last may be a vector, in the cheapest order: ``(A B) x`` runs as ``A (B x)``.
 
     Catalyst can't move a join through the sum between them, so the order is chosen here by the classic dynamic programme over dimensions.
@@ -117,7 +117,7 @@ def chain(*factors: Matrix | Vector) -> Matrix | Vector:
     if isinstance(last, Vector):
         out = last
         for m in reversed(rest):
-            out = mult(m, out)
+            out = mult(m, out, accumulator)
         return out
     dims = [m.nrows for m in factors] + [factors[-1].ncols]
     n = len(factors)
@@ -130,7 +130,7 @@ def chain(*factors: Matrix | Vector) -> Matrix | Vector:
             cost[s][e], cut[s][e] = min(options)
 
     def build(s: int, e: int) -> Matrix:
-        return factors[s] if s == e else matmul(build(s, cut[s][e]), build(cut[s][e] + 1, e))
+        return factors[s] if s == e else matmul(build(s, cut[s][e]), build(cut[s][e] + 1, e), accumulator)
 
     return build(0, n - 1)
 

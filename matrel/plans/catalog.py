@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matrel.functions import generators as gen
 from matrel.functions import scalar
-from matrel.functions.accumulators import Accumulator
+from matrel.functions.accumulators import WHOLE, Accumulator
 from matrel.kernels import sparse
 from matrel.operators import construct, elementwise, ndarray, products, properties, reductions, tensors, views
 from matrel.plans import answers, files
@@ -260,7 +260,7 @@ add("matmul", _qr(products.matmul), _mm)
 add("spgemm", lambda s, sf: products.spgemm(fx.quantities(s, sf), views.transposed(fx.quantities(s, sf))).df, "SELECT b1.i, b2.i AS j, CAST(sum(b1.v * b2.v) AS BIGINT) AS v FROM a b1 JOIN a b2 ON b1.j = b2.j GROUP BY 1, 2")
 add("matmul_blocks", _qr(lambda a, b: products.matmul_blocks(a, b, 16).where(F.col("v") != 0).map(lambda v: v.cast("bigint"))), _mm + " HAVING sum(q.v * r.v) <> 0")
 add("matmul_quad", _qr(lambda a, b: products.matmul_quad(a.map(lambda v: v % 256), b.map(lambda v: v % 128))), "SELECT q.i, r.j, CAST(sum((q.v % 256) * (r.v % 128)) AS BIGINT) AS v FROM q JOIN r ON q.j = r.i GROUP BY q.i, r.j")
-add("product_chain", lambda s, sf: products.chain(fx.square(s, sf), fx.other(s, sf), fx.short(s, sf)).df, "SELECT q.i, CAST(sum(q.v * y.v) AS BIGINT) AS v FROM q JOIN (SELECT r.i, sum(r.v * u.v) AS v FROM r JOIN u ON r.j = u.i GROUP BY r.i) y ON q.j = y.i GROUP BY q.i")
+add("product_chain", lambda s, sf: fx.whole(products.chain(fx.square(s, sf), fx.other(s, sf), fx.short(s, sf), accumulator=WHOLE).df), "SELECT q.i, CAST(sum(q.v * y.v) AS BIGINT) AS v FROM q JOIN (SELECT r.i, sum(r.v * u.v) AS v FROM r JOIN u ON r.j = u.i GROUP BY r.i) y ON q.j = y.i GROUP BY q.i")
 add("kron", lambda s, sf: products.kron(fx.folded(fx.square(s, sf), 6, 6), fx.folded(fx.other(s, sf), 5, 7)).df, "SELECT x1.i * 5 + y1.i AS i, x1.j * 7 + y1.j AS j, x1.v * y1.v AS v FROM (SELECT i % 6 AS i, j % 6 AS j, CAST(sum(v) AS BIGINT) AS v FROM q GROUP BY 1, 2) x1, (SELECT i % 5 AS i, j % 7 AS j, CAST(sum(v) AS BIGINT) AS v FROM r GROUP BY 1, 2) y1")
 add("ger", lambda s, sf: products.ger(fx.square(s, sf), 2, fx.short(s, sf), fx.short2(s, sf)).df, "SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT i, j, v FROM q UNION ALL SELECT u.i, w.i, 2 * u.v * w.v FROM u, w) GROUP BY 1, 2")
 add("symv", lambda s, sf: products.symv(views.hermitian(fx.square(s, sf)), fx.short(s, sf), 2, 3, fx.short2(s, sf)).df, "SELECT i, CAST(sum(v) AS BIGINT) AS v FROM (SELECT h.i, 2 * h.v * u.v AS v FROM (SELECT i, j, v FROM q WHERE i <= j UNION ALL SELECT j, i, v FROM q WHERE i < j) h JOIN u ON h.j = u.i UNION ALL SELECT i, 3 * v FROM w) GROUP BY 1")

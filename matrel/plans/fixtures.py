@@ -66,6 +66,15 @@ def short2(spark: SparkSession, sf: str) -> Vector:
     return Vector(rows, 48)
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """A few rows whose ``v`` are whole numbers: bigint, as in SQL, if all fit, else decimal(38,0), where SQL's cast to BIGINT fails."""
+    rows = [r.asDict() for r in df.collect()]
+    fits = all(r["v"] is None or -(2**63) <= r["v"] < 2**63 for r in rows)
+    kind = "bigint" if fits else "decimal(38,0)"
+    out = [tuple(int(x) if k == "v" and fits and x is not None else x for k, x in r.items()) for r in rows]
+    return df.sparkSession.createDataFrame(out, ", ".join(f"{k} {kind if k == 'v' else t}" for k, t in df.dtypes))
+
+
 #: The same relations in SQL.
 SQL = {
     "raw": "SELECT l_suppkey AS i, l_partkey AS j, CAST(l_quantity AS BIGINT) AS v FROM lineitem",
