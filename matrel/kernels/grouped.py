@@ -28,8 +28,8 @@ def map_matrices(df: DataFrame, rows: int, cols: int, kernel: Callable[[np.ndarr
     return df.select(F.col(key), "i", "j", F.col("v").cast("double").alias("v")).groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
 
 
-def map_elements(df: DataFrame, rows: int, cols: int, kernel: Callable[[np.ndarray], np.ndarray], key: str = "id") -> DataFrame:
-    """``kernel(matrix) -> matrix`` for each key, as ``key, i, j, v``."""
+def map_elements(df: DataFrame, rows: int, cols: int, kernel: Callable[[np.ndarray], np.ndarray], key: str = "id", result: str = "double") -> DataFrame:
+    """``kernel(matrix) -> matrix`` for each key, as ``key, i, j, v`` with ``v`` of type ``result``."""
 
     def run(keys: tuple, f: pd.DataFrame) -> pd.DataFrame:
         out = np.atleast_2d(kernel(_dense(f, rows, cols)))
@@ -37,7 +37,7 @@ def map_elements(df: DataFrame, rows: int, cols: int, kernel: Callable[[np.ndarr
         return pd.DataFrame({key: keys[0], "i": i.reshape(-1), "j": j.reshape(-1), "v": out.reshape(-1)})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), "i", "j", F.col("v").cast("double").alias("v")).groupBy(key).applyInPandas(run, f"{key} {kind}, i long, j long, v double")
+    return df.select(F.col(key), "i", "j", F.col("v").cast("double").alias("v")).groupBy(key).applyInPandas(run, f"{key} {kind}, i long, j long, v {result}")
 
 
 def tall_r(rows: DataFrame, ncols: int) -> np.ndarray:

@@ -32,3 +32,18 @@ def test_product_chain_beyond_bigint(spark, tmp_path):
     got = rows(entry.queries()["product_chain"](spark, str(tmp_path)), ["i", "v"])
     want = sorted(con.sql(sql.replace("CAST(sum(q.v * y.v) AS BIGINT)", "sum(q.v * y.v)")).fetchall())
     assert [(i, int(v)) for i, v in got] == want and max(v for _, v in want) > 2**63
+
+
+def same_as_sql(spark, at, con, name):
+    columns = ["id", "i", "j", "v"]
+    got = rows(entry.queries()[name](spark, str(at)), columns)
+    assert got == sorted(con.sql(f"SELECT id, i, j, v FROM ({entry.oracle_sql()[name]})").fetchall())
+    return got
+
+
+def test_grouped_condition_halves(spark, tmp_path):
+    quantities = {0: 300_000, 1: 300_001, 2: 300_000, 3: 300_000, 4: 300_000, 5: 300_000}
+    lines = " UNION ALL ".join(f"SELECT CAST({50 * k + g} AS BIGINT), CAST({k} AS BIGINT), CAST(0 AS BIGINT), CAST({v + 2 * g * (k == 1)} AS DOUBLE)" for g in range(50) for k, v in quantities.items())
+    con = tables(tmp_path, f"SELECT * FROM ({lines}) t(l_orderkey, l_partkey, l_suppkey, l_quantity)")
+    got = same_as_sql(spark, tmp_path, con, "grouped_condition")
+    assert got[0] == (0, 0, 0, 1_000_003)  # 1,000,002.5
