@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from matrel.functions import wide as W
 from matrel.kernels import dense as D
 from matrel.kernels import ordering as O
 from matrel.kernels import precond as P
@@ -246,3 +247,18 @@ def test_sparse_accumulator():
     own.store(5, 9.0)
     own.scatter(5, 1.0)
     assert (own[5], own[3], own.is_set(3), own.indices().tolist()) == (10.0, 0.0, False, [5])
+
+
+def test_wide_elements():
+    rng = np.random.default_rng(5)
+    jordan = np.diag(np.ones(5), 1) + 2 * np.eye(6)
+    turned = np.roll(np.eye(6), 1, axis=0)
+    for a in (rng.integers(0, 10**9, (6, 6)), jordan, turned, np.zeros((6, 6)), np.full((6, 6), 7.0), rng.integers(-9, 9, (6, 6)), np.array([[5.0]])):
+        exact = np.array([[int(x) for x in row] for row in a], object)
+        both = exact + exact.T
+        with W.digits():
+            for w, m in ((D.eigenvalue(W.wide(a)), exact), (D.eigenvalue_symmetric(W.wide(both)), both)):
+                powers = [m, m @ m, m @ m @ m]
+                assert [int(W.whole((w**k).sum())) for k in (1, 2, 3)] == [np.trace(p) for p in powers]
+            assert int(W.whole((D.singular_values(W.wide(a)) ** 2).sum())) == (exact**2).sum()
+    assert np.allclose(D.singular_values(W.wide(jordan)).astype(float), D.singular_values(jordan))

@@ -47,3 +47,10 @@ def test_grouped_condition_halves(spark, tmp_path):
     con = tables(tmp_path, f"SELECT * FROM ({lines}) t(l_orderkey, l_partkey, l_suppkey, l_quantity)")
     got = same_as_sql(spark, tmp_path, con, "grouped_condition")
     assert got[0] == (0, 0, 0, 1_000_003)  # 1,000,002.5
+
+
+@pytest.mark.parametrize("name", ["grouped_eigenvalue"])
+def test_traces_beyond_doubles(spark, tmp_path, name):
+    con = tables(tmp_path, f"SELECT * REPLACE (l_quantity * 999 AS l_quantity) FROM '{SMALL}/lineitem.parquet'")
+    got = same_as_sql(spark, tmp_path, con, name)
+    assert max(r[-1] for r in got) > 2**53
