@@ -49,7 +49,7 @@ def test_grouped_condition_halves(spark, tmp_path):
     assert got[0] == (0, 0, 0, 1_000_003)  # 1,000,002.5
 
 
-@pytest.mark.parametrize("name", ["grouped_eigenvalue", "grouped_eigenvalue_symmetric", "grouped_hessenberg"])
+@pytest.mark.parametrize("name", ["grouped_eigenvalue", "grouped_eigenvalue_symmetric", "grouped_hessenberg", "grouped_tridiagonal"])
 def test_traces_beyond_doubles(spark, tmp_path, name):
     con = tables(tmp_path, f"SELECT * REPLACE (l_quantity * 999 AS l_quantity) FROM '{SMALL}/lineitem.parquet'")
     got = same_as_sql(spark, tmp_path, con, name)
