@@ -1,7 +1,8 @@
 """Products: an equi-join on the contraction index and a sum, which Spark splits into partial and final sums.
 
 Neither side is broadcast by hand: Spark broadcasts a side whose size it knows to be small and sort-merges otherwise.
-Dense products can go by blocks instead: the join is then on block numbers and NumPy multiplies.
+Products with many places go by blocks of rows (or columns), see ``_blocked``. Dense products can go by blocks both ways: the join is then on block
+numbers and NumPy multiplies.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from matrel.operators.views import lower, strict_lower, strict_upper, transposed
 from matrel.relation import Matrix, Vector, blocks_form, same_length, same_shape
 
 
+#: Places up to which partial sums are few enough to be shuffled. Else rows of the result a block has at most, blocks there are at least, entries packed in a row.
+PLACES, BLOCK, BLOCKS, PACKED = 1 << 20, 512, 64, 4096
+
+
 def axpy(alpha: float, x: Vector, y: Vector) -> Vector:
     """``alpha x + y``."""
     return add(x, y, alpha, 1)
@@ -42,10 +47,37 @@ def matmul(a: Matrix, b: Matrix, accumulator: Accumulator = PLAIN) -> Matrix:
     """``A B``. Entries that cancel stay stored as zeros, so the pattern depends on the patterns alone."""
     if a.ncols != b.nrows:
         raise ValueError(f"{a.shape} times {b.shape}")
+    if a.nrows * b.ncols > PLACES:
+        return _blocked(a, b, accumulator)
     met = a.df.select("i", F.col("j").alias("k"), F.col("v").alias("a")).join(b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("b")), "k")
     return Matrix(met.groupBy("i", "j").agg(accumulator.sum_of_products(F.col("a"), F.col("b")).alias("v")), a.nrows, b.ncols)
 
 
+def _blocked(a: Matrix, b: Matrix, accumulator: Accumulator) -> Matrix:
+    """``A B`` by blocks of the result's rows, or columns if these are more: all terms of a place are summed where its block is, none is shuffled.
+
+    What is shuffled is each factor by the contraction index, and then, packed, what of a factor's row an index sends to each block that holds the index:
+    at most as many numbers as there are terms, and far fewer where near rows meet in the same indices. Packed rows hold at most ``BLOCK`` and ``PACKED`` entries.
+    """
+    spark = a.df.sparkSession
+    x = a.df.select(F.col("j").alias("k"), F.col("i").alias("p"), F.col("v").alias("a"))
+    y = b.df.select(F.col("i").alias("k"), F.col("j").alias("q"), F.col("v").alias("b"))
+    by_rows, longest = a.nrows >= b.ncols, max(a.nrows, b.ncols)
+    width = min(BLOCK, -(-longest // BLOCKS))
+    n = 4 * min(-(-longest // width), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def packed(df: DataFrame, index: str, value: str, size: int, name: str) -> DataFrame:
+        rows = df.repartition("k").groupBy("k", F.expr(f"{index} div {size}").alias(name)).agg(F.collect_list(F.struct(index, value)).alias("r"))
+        return rows.select("k", name, F.col(f"r.{index}").alias(f"{index}s"), F.col(f"r.{value}").alias(f"{value}s"))
+
+    left, right = packed(x, "p", "a", width if by_rows else PACKED, "g" if by_rows else "h"), packed(y, "q", "b", PACKED if by_rows else width, "h" if by_rows else "g")
+    met = left.join(right, "k").select("g", "ps", "as", "qs", "bs").repartition(n, "g")
+    met = met.select("g", F.arrays_zip("ps", "as").alias("r"), F.arrays_zip("qs", "bs").alias("s"))
+    met = met.select("g", "s", F.inline("r").alias("p", "a")).select("g", "p", "a", F.inline("s").alias("q", "b"))
+    summed = met.groupBy("g", "p", "q").agg(accumulator.sum_of_products(F.col("a"), F.col("b")).alias("v"))
+    return Matrix(summed.select(F.col("p").alias("i"), F.col("q").alias("j"), "v"), a.nrows, b.ncols)
+
+
 spgemm = matmul
 
 
