@@ -58,3 +58,11 @@ def test_large_products_shuffle_no_terms(spark):
     for r in rows:
         got[r["i"], r["j"]] = r["v"]
     assert len(rows) == 1100**2 and (got == dense @ dense.T).all()
+
+
+def test_large_gram_shuffles_no_terms(spark):
+    a = sparse(spark, 1100, 50, 200, 4)
+    out = products.syrk(a).df
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Exchange")].count("Generate") == 2
+    assert out.where("i = j and i < 10").count() == 10
