@@ -1,4 +1,4 @@
-"""Connected components of a link table: tasks contract the links they hold, then alternating large and small stars join what is left."""
+"""Connected components of a link table: tasks contract the links they hold; what is left is contracted in one task if it holds it, else joined by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matrel.llm import _words
 from matrel.llm._io import written
 
-#: Links a task holds before it contracts them; bounds its memory.
+#: Links a task holds before it contracts them, and below which one task finishes; bounds its memory.
 HELD = 1 << 20
 
 
@@ -33,8 +33,8 @@ def roots(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Fewer links with the same components: in each task every node hangs on the least one it is connected with there."""
+def _contracted(edges: DataFrame, least: bool = False) -> DataFrame:
+    """Fewer links with the same components: in each task every node hangs on the least one it is connected with there; ``least``: that one on itself too."""
     kind = edges.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +45,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
             a, b = (rows.column(k).to_numpy() for k in (0, 1))
             names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             root = roots(len(names), at[: len(a)], at[len(a) :])
-            moved = np.flatnonzero(root != np.arange(len(names)))
+            moved = np.arange(len(names)) if least else np.flatnonzero(root != np.arange(len(names)))
             own = rows.schema.field(0).type
             return pa.RecordBatch.from_arrays([pa.array(names[moved], own), pa.array(names[root[moved]], own)], names=["a", "b"])
 
@@ -95,11 +95,14 @@ def components(links: DataFrame) -> DataFrame:
 
     ``component_id`` is the least id reachable. Nodes without links aren't in the result.
     Links to oneself, repeated links and links with a null end count for nothing; an empty table gives none.
-    No links or components are collected: each round is a few shuffles, of which
+    No links or components are collected. Fewer than ``HELD`` contracted links need no shuffle; with more, each round is a few shuffles, of which
     there are about as many as the logarithm of the longest chain between tasks.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(_contracted(edges).distinct(), "links")
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = written(_contracted(edges), "links")
+    if edges.count() < HELD:
+        return _contracted(edges.coalesce(1), least=True).toDF("id", "component_id")
+    edges = written(edges.distinct(), "links")
     while _loose(edges):
         edges = _star(_star(edges, large=True), large=False)
     # links are now stars: (node, least)

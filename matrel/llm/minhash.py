@@ -230,24 +230,27 @@ def _links_between(x: _Members, y: _Members, same: bool, key: int, percent: int)
         return c
 
     band = int(np.flatnonzero((x.keys == key).any(axis=0))[0])
+    met = np.zeros((len(x.ids), len(y.ids)), bool)
+    for t in range(band):
+        met |= x.keys[:, t][:, None] == y.keys[:, t][None, :]
+    ok = (x.own[:, None] != y.own[None, :]) & ~met
+    r, c = np.nonzero(np.triu(ok, 1) if same else ok)
+    likely = [np.zeros(0, bool)]
+    found = [np.zeros(0)]
+    for at in range(0, len(r), BLOCK * BLOCK):
+        i, j = r[at : at + BLOCK * BLOCK], c[at : at + BLOCK * BLOCK]
+        likely.append(may_reach(x.regs[i], y.regs[j], x.n[i], y.n[j], percent / 100))
+        found.append(estimate(x.regs[i], y.regs[j], x.n[i], y.n[j])[0])
+    likely, found = np.concatenate(likely), np.concatenate(found)
+    order = np.flatnonzero(likely)
+    order = order[np.argsort(-found[order], kind="stable")]
     a, b = [], []
-    for r in range(len(x.ids)):
-        ok = (y.own != x.own[r]) & ~(y.keys[:, :band] == x.keys[r, :band]).any(axis=1)
-        if same:
-            ok &= np.arange(len(y.ids)) > r
-        cand = np.flatnonzero(ok)
-        if not len(cand):
-            continue
-        cand = cand[may_reach(x.regs[r][None, :], y.regs[cand], x.n[r], y.n[cand], percent / 100)]
-        if not len(cand):
-            continue
-        found, _ = estimate(x.regs[r][None, :], y.regs[cand], x.n[r], y.n[cand])
-        for c in cand[np.argsort(-found, kind="stable")].tolist():
-            p, q = find(x.own[r]), find(y.own[c])
-            if p != q and _reach(x.sets()[r], y.sets()[c], percent):
-                root[p] = q
-                a.append(x.ids[r])
-                b.append(y.ids[c])
+    for i, j in zip(r[order].tolist(), c[order].tolist(), strict=True):
+        p, q = find(x.own[i]), find(y.own[j])
+        if p != q and _reach(x.sets()[i], y.sets()[j], percent):
+            root[p] = q
+            a.append(x.ids[i])
+            b.append(y.ids[j])
     return a, b
 
 
@@ -256,14 +259,24 @@ def _block_links(members: DataFrame, words: int, percent: int) -> DataFrame:
 
     ``members``: ``key, id, component_id, n_shingles, regs, text``. A band's members are dealt into blocks of about
     ``BLOCK`` and about a megabyte of text; each pair of its blocks is one row and gives no more links than it has members.
+    A component that fills more than one block has blocks of its own, which aren't paired with each other.
     """
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("id") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / (1 << 20))).cast("int").alias("blocks"))
-    dealt = members.join(written(sizes, "sizes"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))).cast("int"))
-    blocks = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component_id", "n_shingles", "regs", "text")).alias("rows"))
+    need = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / (1 << 20)), F.lit(1)).cast("int")
+    sizes = members.groupBy("key", "component_id").agg(F.count("id").alias("n"), F.sum(F.octet_length("text")).alias("size")).withColumn("alone", need(F.col("n"), F.col("size")) > 1)
+    of = lambda name: F.sum(F.when(~F.col("alone"), F.col(name)))
+    owned = F.map_from_entries(F.collect_list(F.when(F.col("alone"), F.struct("component_id", need(F.col("n"), F.col("size"))))))
+    sizes = sizes.groupBy("key").agg(need(of("n"), of("size")).alias("shared"), owned.alias("owned")).where("shared > 1 OR size(owned) > 0")
+    # only bands of more than one block have a size, so that these are few and the texts aren't shuffled to meet them
+    dealt = members.join(written(sizes, "sizes"), "key", "left").withColumn("owned", F.try_element_at("owned", "component_id")).withColumn("more", F.col("shared").isNotNull())
+    block = F.pmod(F.xxhash64("id"), F.coalesce("owned", "shared", F.lit(1))).cast("string")
+    dealt = dealt.withColumn("own", F.when(F.col("owned").isNotNull(), F.col("component_id"))).withColumn("block", F.coalesce(F.concat(F.col("own").cast("string"), F.lit(":"), block), block))
+    blocks = dealt.groupBy("key", "own", "block", "more").agg(F.collect_list(F.struct("id", "component_id", "n_shingles", "regs", "text")).alias("rows"))
     blocks = written(blocks, "blocks", heavy=True)
-    left, right = (blocks.select("key", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
-    met = left.join(right, "key").where("block_a <= block_b").select("key", (F.col("block_a") == F.col("block_b")).alias("same"), "rows_a", "rows_b")
+    left, right = (blocks.where("more").select("key", F.col("own").alias(f"own_{x}"), F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
+    met = left.join(right, "key").where("block_a < block_b AND NOT coalesce(own_a = own_b, false)").select("key", F.lit(False).alias("same"), "rows_a", "rows_b")
+    # only bands of more than one block are joined; a block is compared with itself where it is
+    met = met.unionByName(blocks.where("own IS NULL").select("key", F.lit(True).alias("same"), F.col("rows").alias("rows_a"), F.slice("rows", 1, 0).alias("rows_b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,6 +53,40 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_few_links_need_no_shuffle(spark, monkeypatch):
+    """Before, each round over however few links was several shuffles."""
+    from matrel.llm import components as module
+
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80), (80, 85), (85, 90)], "a long, b long")
+    few = components(df)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i, 0) for i in range(41)) + [(80, 80), (85, 80), (90, 80)]
+    assert sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(module, "HELD", 2)
+    many = components(df)
+    assert "Exchange" in many._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, many.collect())) == want
+
+
+def test_blocks_of_a_band(spark, monkeypatch):
+    """A component that fills several blocks: only its links to others are looked for, and all of these are found."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    base = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join([*base, f"x{k}"]) for k in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    sketched = minhash.sketches(docs, key="id")
+    regs = {r["id"]: np.frombuffer(r["regs"], np.uint16) for r in sketched.collect()}
+    keys = minhash.band_keys(np.stack([regs[k] for k in range(12)]))
+    band = next(t for t in range(minhash.BANDS) if len(set(keys[:, t].tolist())) == 1)
+    own = {k: 0 if k < 7 else 7 if k < 10 else k for k in range(12)}
+    members = sketched.join(docs, "id").join(spark.createDataFrame(list(own.items()), "id long, component_id long"), "id")
+    members = members.selectExpr(f"{int(keys[0, band])} AS key", "id", "component_id", "n_shingles", "regs", "text")
+    found = minhash._block_links(members, 5, 75).collect()
+    earlier = {(a, b) for a, b in combinations(range(12), 2) if (keys[a, :band] == keys[b, :band]).any()}
+    open_ = {(a, b) for a, b in combinations(range(12), 2) if own[a] != own[b]} - earlier
+    assert all(own[r["a"]] != own[r["b"]] and tuple(sorted((r["a"], r["b"]))) in open_ for r in found)
+    assert roots(range(12), [*own.items(), *[(r["a"], r["b"]) for r in found]]) == roots(range(12), [*own.items(), *open_])
+
+
 def test_all_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.op3_minhash_near_dedup(spark, SMALL).collect()}
