@@ -1,7 +1,7 @@
 """Products: an equi-join on the contraction index and a sum, which Spark splits into partial and final sums.
 
 Neither side is broadcast by hand: Spark broadcasts a side whose size it knows to be small and sort-merges otherwise.
-Products with many places go by blocks of rows (or columns), see ``_blocked``. Dense products can go by blocks both ways: the join is then on block
+Products with many places go by groups of rows and columns, see ``_gathered``, or by blocks of rows (or columns), see ``_blocked``. Dense products can go by blocks both ways: the join is then on block
 numbers and NumPy multiplies.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from matrel.functions.accumulators import PLAIN, Accumulator
 from matrel.functions.scalar import wrapped
+from matrel.operators import _gathered
 from matrel.operators.elementwise import add, scale
 from matrel.operators.views import lower, strict_lower, strict_upper, transposed, upper
 from matrel.relation import Matrix, Vector, blocks_form, same_length, same_shape
@@ -23,6 +24,8 @@ from matrel.relation import Matrix, Vector, blocks_form, same_length, same_shape
 
 #: Places up to which partial sums are few enough to be shuffled. Else rows of the result a block has at most, blocks there are at least, entries packed in a row.
 PLACES, BLOCK, BLOCKS, PACKED = 1 << 20, 512, 64, 4096
+#: Entries of both factors up to which what blocks send is small.
+ENTRIES = 1 << 16
 
 
 def axpy(alpha: float, x: Vector, y: Vector) -> Vector:
@@ -48,11 +51,21 @@ def matmul(a: Matrix, b: Matrix, accumulator: Accumulator = PLAIN) -> Matrix:
     if a.ncols != b.nrows:
         raise ValueError(f"{a.shape} times {b.shape}")
     if a.nrows * b.ncols > PLACES:
-        return _blocked(a, b, accumulator)
+        return _large(a, b, accumulator)
     met = a.df.select("i", F.col("j").alias("k"), F.col("v").alias("a")).join(b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("b")), "k")
     return Matrix(met.groupBy("i", "j").agg(accumulator.sum_of_products(F.col("a"), F.col("b")).alias("v")), a.nrows, b.ncols)
 
 
+def _large(a: Matrix, b: Matrix, accumulator: Accumulator, same: bool = False) -> Matrix:
+    """``A B`` with many places. Long elements go by groups if no sum can reach 2**62 and all have values and places, the rest by blocks. ``same``: B is A transposed."""
+    if accumulator == PLAIN and a.dtype == b.dtype == "bigint":
+        rows = _gathered.groups(a.df, "i", "j", a.nrows)
+        columns = rows if same or rows is None else _gathered.groups(b.df, "j", "i", b.ncols)
+        if rows and columns and max(rows.n, columns.n) > ENTRIES and rows.total * columns.total < 2**62:
+            return _gathered.product(a, b, rows, columns, same)
+    return _blocked(a, b, accumulator)
+
+
 def _blocked(a: Matrix, b: Matrix, accumulator: Accumulator) -> Matrix:
     """``A B`` by blocks of the result's rows, or columns if these are more: all terms of a place are summed where its block is, none is shuffled.
 
@@ -216,7 +229,8 @@ def symm(a: Matrix, b: Matrix, alpha: float = 1, beta: float = 0, c: Matrix | No
 
 def syrk(a: Matrix, alpha: float = 1, beta: float = 0, c: Matrix | None = None) -> Matrix:
     """``alpha A A^T + beta C``, both triangles."""
-    return _axpby(alpha, matmul(a, transposed(a)), beta, c)
+    made = _large(a, transposed(a), PLAIN, same=True) if a.nrows**2 > PLACES else matmul(a, transposed(a))
+    return _axpby(alpha, made, beta, c)
 
 
 def syr2k(a: Matrix, b: Matrix, alpha: float = 1, beta: float = 0, c: Matrix | None = None) -> Matrix:
